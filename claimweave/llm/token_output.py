@@ -155,8 +155,8 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                         ids = [shard.ids(s, n).astype("<u4").tobytes() for s, n in zip(starts[cut].tolist(), counts[cut].tolist())]
                         yield pa.record_batch([docs.column(0)[cut], pa.array(starts[cut] + base), pa.array(counts[cut]), pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
-    shards = shard_bases(manifest).select("path", "base", "shard")
-    return shards.repartition(F.col("shard")).select("path", "base").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    n_shards = max(1, manifest.count())  # a task for each: the few small rows would else be read as one
+    return shard_bases(manifest).select("path", "base", "shard").repartition(n_shards, "shard").select("path", "base").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_digests(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int, vocabulary: int) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,9 @@ import pyarrow as pa
 from . import textbatch as tb
 
 #: Chunks that a worker keeps; beyond it begins anew, so its memory stays bounded.
-KEPT_CHUNKS = 600_000
+KEPT_CHUNKS = 1_500_000
+#: Bytes of distinct chunks that the library gets as one string.
+JOINED_BYTES = 1 << 16
 
 
 def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -24,21 +27,23 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
-    begins = (data == 32) | (data == 10)
-    before = np.zeros((3, n), np.uint8)
-    for k in (1, 2, 3):
-        before[k - 1, k:] = data[:-k]
-    plain = (before[0] > 32) & (before[0] < 128)
-    wide = (before[0] >= 128) & (before[1] != 0xC2) & ~((before[2] >= 0xE1) & (before[2] <= 0xE3))
-    begins &= plain | wide
-    edges = tb.document_starts(n, offsets)[:n]
-    return np.flatnonzero(begins | edges)
+    begins = tb.document_starts(n, offsets)[:n]
+    at = np.flatnonzero((data == 32) | (data == 10))
+    begins[at[closes(data, at)]] = True
+    return np.flatnonzero(begins)
+
+
+def closes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Is the character before each position surely no white space?"""
+    last, second, third = (np.where(at >= k, data[np.maximum(at - k, 0)], 0) for k in (1, 2, 3))
+    return ((last > 32) & (last < 128)) | ((last >= 128) & (second != 0xC2) & ~((third >= 0xE1) & (third <= 0xE3)))
 
 
 class ChunkCache:
     """Values (runs of numbers) of distinct chunks, looked up by hash in sorted arrays."""
 
-    def __init__(self, evaluate: Callable[[list[str]], list[list[int]]], kept: int = KEPT_CHUNKS):
+    def __init__(self, evaluate: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], kept: int = KEPT_CHUNKS):
+        """``evaluate``: of joined chunks and their ends, all values and their number by chunk."""
         self.evaluate, self.kept = evaluate, kept
         self.clear()
 
@@ -59,10 +64,8 @@ class ChunkCache:
         known[inside] = self.keys[at[inside]] == unique[inside]
         if not known.all():
             new = np.flatnonzero(~known)
-            raw = data.tobytes()
-            values = self.evaluate([raw[s:e].decode("utf-8") for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
-            lengths = np.fromiter(map(len, values), np.int64, len(values))
-            flat = np.fromiter((x for v in values for x in v), np.int32, int(lengths.sum()))
+            sizes = ends[first[new]] - starts[first[new]]
+            flat, lengths = self.evaluate(data[tb.ragged(starts[first[new]], sizes)], np.cumsum(sizes))
             rows = len(self.lengths) + np.arange(len(new))
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
@@ -77,16 +80,64 @@ class ChunkCache:
 _caches: dict[tuple, ChunkCache] = {}
 
 
-def library_cache(path: str) -> ChunkCache:
-    """A worker's cache over the tokenizers file at ``path`` (special strings as the library's default, none added)."""
-    if ("ids", path) not in _caches:
+def strings(joined: np.ndarray, ends: np.ndarray) -> list[str]:
+    raw, stops = joined.tobytes(), ends.tolist()
+    return [raw[a:b].decode("utf-8") for a, b in zip([0, *stops], stops)]
+
+
+def flattened(values: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.fromiter(map(len, values), np.int64, len(values))
+    return np.fromiter((x for v in values for x in v), np.int32, int(lengths.sum())), lengths
+
+
+class LibraryEncoder:
+    """Ids of joined chunks by the tokenizers library (special strings as its default, none added).
+
+    Chunks that begin with a space or line feed and end with no white space may stand side by side
+    in one string; byte-level tokens have fixed byte lengths, which tell whose each id is.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        _caches["ids", path] = ChunkCache(lambda chunks: [e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)])
+        self.library: Any = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        added = {t.content for t in self.library.get_added_tokens_decoder().values()}
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, k in vocabulary.items():
+            self.n_bytes[k] = len(token.encode("utf-8")) if token in added else len(token)
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, joined: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts = np.append(0, ends[:-1])
+        fit = ((joined[starts] == 32) | (joined[starts] == 10)) & closes(joined, ends)
+        fit &= ends - starts >= 4  # so that closes() looks at this chunk alone
+        alone = np.flatnonzero(~fit)
+        together = np.flatnonzero(fit)
+        sizes = ends - starts
+        order = np.concatenate([together, alone])
+        run = joined[tb.ragged(starts[together], sizes[together])]
+        stops = np.cumsum(sizes[together])
+        cuts = np.unique(np.searchsorted(stops, np.arange(JOINED_BYTES, int(stops[-1]) if len(stops) else 0, JOINED_BYTES)))
+        flat = np.fromiter((x for e in self.ids(strings(run, np.append(stops[cuts[cuts < len(stops) - 1]], len(run)))) for x in e), np.int32)
+        lengths = np.diff(np.searchsorted(np.cumsum(self.n_bytes[flat]), stops, side="right"), prepend=0) if len(stops) else np.zeros(0, np.int64)
+        raw = joined.tobytes()
+        more, counts = flattened(self.ids([raw[starts[k] : ends[k]].decode("utf-8") for k in alone.tolist()]))
+        flat, lengths = np.concatenate([flat, more]), np.concatenate([lengths, counts])
+        back = np.argsort(order)
+        at = np.cumsum(lengths) - lengths
+        return flat[tb.ragged(at[back], lengths[back])], lengths[back]
+
+
+def library_cache(path: str) -> ChunkCache:
+    """A worker's cache over the tokenizers file at ``path``."""
+    if ("ids", path) not in _caches:
+        _caches["ids", path] = ChunkCache(LibraryEncoder(path))
     return _caches["ids", path]
 
 
