@@ -17,7 +17,7 @@ yields no row; other columns are not read; texts of any length go by slices, nev
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .tokenizing import KEPT_CHUNKS, ChunkCache, chunk_starts
+from .tokenizing import ChunkCache, chunk_starts, flattened, strings
 
 #: Fixed value: the published pattern that splits text before byte-level merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: What a worker keeps of prefixes and of neighbours; beyond it begins anew, so its memory stays bounded.
+KEPT_PREFIXES = 1_000_000
+#: A longer word (in bytes) is solved without keeping its prefixes.
+LONG_WORD = 64
 
 
 def byte_symbols() -> list[str]:
@@ -54,11 +58,16 @@ class PrefixCounter:
         self.ids = {raw(t): i for t, i in model["vocab"].items() if t not in special}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.rank = {(raw(a), raw(b)): k for k, (a, b) in enumerate(pairs)}
-        self.longest = max(map(len, self.ids))
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.pattern = regex.compile(PATTERN)
         self.stands: dict[tuple[bytes, bytes], bool] = {}
-        self.words: dict[bytes, list[int]] = {}
+        #: The lengths of the tokens that end in two given bytes, or are one given byte.
+        self.lengths: dict[bytes, list[int]] = {}
+        for size in sorted({len(t) for t in self.ids}):
+            for tail in {t[-2:] for t in self.ids if len(t) == size}:
+                self.lengths.setdefault(tail, []).append(size)
+        #: Of each prefix met so far, the last token and the count: words share prefixes.
+        self.prefixes: dict[bytes, tuple[bytes, int]] = {b"": (b"", 0)}
 
     def merged(self, word: bytes) -> list[bytes]:
         """The merges' own result for a short word."""
@@ -74,30 +83,45 @@ class PrefixCounter:
         """Do these two tokens stand side by side in an encoding?"""
         key = (left, right)
         if (known := self.stands.get(key)) is None:
-            if len(self.stands) > 4 * KEPT_CHUNKS:
+            if len(self.stands) > KEPT_PREFIXES:
                 self.stands.clear()
             known = self.stands[key] = self.merged(left + right) == ([left, right] if left else [right])
         return known
 
     def prefix_counts(self, word: bytes) -> list[int]:
         """Counts of the encodings of word[:1], word[:2], ..., word."""
-        if (known := self.words.get(word)) is not None:
-            return known
-        last, counts, ids, fits = [b""], [0], self.ids, self.fits
+        if len(self.prefixes) > KEPT_PREFIXES:
+            self.prefixes = {b"": (b"", 0)}
+        if len(word) > LONG_WORD:
+            return self._long(word)
+        prefixes, counts = self.prefixes, []
         for end in range(1, len(word) + 1):
-            for begin in range(max(0, end - self.longest), end):
-                token = word[begin:end]
-                if token in ids and fits(last[begin], token):
-                    last.append(token)
-                    counts.append(counts[begin] + 1)
-                    break
-            else:
-                raise ValueError("no token ends here")
-        if len(self.words) > KEPT_CHUNKS:
-            self.words.clear()
-        if len(word) < 64:
-            self.words[word] = counts[1:]
-        return counts[1:]
+            prefix = word[:end]
+            state = prefixes.get(prefix)
+            if state is None:
+                state = prefixes[prefix] = self._step(word, end, lambda begin: prefixes[word[:begin]])
+            counts.append(state[1])
+        return counts
+
+    def _long(self, word: bytes) -> list[int]:
+        """The same for a long word, whose prefixes aren't worth keeping."""
+        states = [(b"", 0)]
+        for end in range(1, len(word) + 1):
+            states.append(self._step(word, end, states.__getitem__))
+        return [n for _, n in states[1:]]
+
+    def _step(self, word: bytes, end: int, state: Callable[[int], tuple[bytes, int]]) -> tuple[bytes, int]:
+        ids = self.ids
+        for size in (1, *self.lengths.get(word[end - 2 : end], ())) if end > 1 else (1,):
+            begin = end - size
+            if begin < 0:
+                break
+            token = word[begin:end]
+            if token in ids:
+                last, count = state(begin)
+                if self.fits(last, token):
+                    return token, count + 1
+        raise ValueError("no token ends here")
 
     def chunk_prefixes(self, chunk: str) -> list[int]:
         """Counts after each byte of a chunk; within a special string the count is that of its start."""
@@ -121,7 +145,7 @@ def prefix_cache(path: str) -> ChunkCache:
     """A worker's cache of chunks' prefix counts."""
     if path not in _caches:
         counter = PrefixCounter(path)
-        _caches[path] = counter, ChunkCache(lambda chunks: [counter.chunk_prefixes(c) for c in chunks], kept=KEPT_CHUNKS)
+        _caches[path] = counter, ChunkCache(lambda joined, ends: flattened([counter.chunk_prefixes(c) for c in strings(joined, ends)]))
     return _caches[path][1]
 
 
