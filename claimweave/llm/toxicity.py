@@ -54,7 +54,7 @@ def n_gram_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
         if len(points) < n:
             continue
         m = len(points) - n + 1
-        inner = np.flatnonzero((spaces[n - 1 : n - 1 + m] - spaces[1 : 1 + m] == 0) & ~(space[:m] & space[n - 1 :]) if n > 2 else ~space[:m])
+        inner = np.flatnonzero(spaces[n - 1 : n - 1 + m] == spaces[1 : 1 + m])  # spaces at the ends alone
         value = np.full(len(inner), n, np.uint64)
         for k in range(n):
             value = value * np.uint64(0x9E3779B97F4A7C15) + coded[inner + k]
