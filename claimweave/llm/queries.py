@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, packing, quality, token_counts, token_output, toxicity, url_filter
+from . import chat_format, jaccard_join, packing, quality, token_counts, token_output, toxicity, url_filter
 
 TOKENIZER = "byte_bpe_50k.json"
 VOCABULARY = 50_257
@@ -94,6 +94,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER), end_id=1, window=2048))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -113,6 +117,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_output": op4_token_output,
         "op5_token_counts": op5_token_counts,
         "op6_packing": op6_packing,
+        "op7_jaccard_join": op7_jaccard_join,
         "op9_quality_rules": op9_quality_rules,
         "op10_toxicity": op10_toxicity,
     }
