@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, jaccard_join, packing, quality, token_counts, token_output, toxicity, url_filter
+from . import chat_format, collision_search, jaccard_join, packing, quality, sentencepiece_fst, token_counts, token_output, toxicity, url_filter
 
 TOKENIZER = "byte_bpe_50k.json"
 VOCABULARY = 50_257
@@ -23,6 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and what they decode to, by digests."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    decoded = sentencepiece_fst.decode(sentencepiece_fst.encode(table(spark, sf_dir, "documents"), path), path)
+    return decoded.select(
+        "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"),
+        F.length("text").cast("long").alias("decoded_chars"), F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -98,6 +108,11 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
 
 
+def op8_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return collision_search.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -112,12 +127,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sentencepiece": op1_sentencepiece,
         "op2_chat_format": op2_chat_format,
         "op3_url_filter": op3_url_filter,
         "op4_token_output": op4_token_output,
         "op5_token_counts": op5_token_counts,
         "op6_packing": op6_packing,
         "op7_jaccard_join": op7_jaccard_join,
+        "op8_collision_search": op8_collision_search,
         "op9_quality_rules": op9_quality_rules,
         "op10_toxicity": op10_toxicity,
     }

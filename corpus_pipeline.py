@@ -1,15 +1,49 @@
-"""Documents through quality rules, toxicity, near-duplicate removal and packing."""
+"""Documents through quality rules, toxicity, near-duplicate removal and packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame: all but the last the columns of
+``documents``, the last the pieces of packed sequences, each with its ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from claimweave.llm import jaccard_join, packing, quality, toxicity
+from claimweave.llm.queries import TOKENIZER, table, tokenizer_path
+from claimweave.llm.storage import stored
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules and the trees keep."""
+    return quality.kept_rows(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted to be toxic."""
+    return toxicity.clean_rows(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group that near copies link."""
+    others = jaccard_join.classes(docs).where("doc_id != component_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 tokens, with ids (little-endian unsigned 32 bits) and their crc."""
+    pieces = packing.pack(docs, tokenizer_path(TOKENIZER), end_id=1, window=2048)
+    return pieces.select("doc_id", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [("quality_rules", quality_rules), ("toxicity", toxicity_filter), ("near_duplicates", near_duplicates), ("packing", pack)]
 
-STAGES: list = []
+#: Trained classifiers and the tokenizer can't be had in SQL: tests/llm/test_pipeline.py compares with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
