@@ -29,7 +29,7 @@ from . import textbatch as tb
 from .quality import labelled
 
 #: At most so many labelled documents are fitted on.
-TRAINING_ROWS = 6_000
+TRAINING_ROWS = 5_000
 BITS = 18
 SIZES = (4, 5, 6)
 _LATIN = np.arange(0x250, dtype=np.uint32)
@@ -84,19 +84,22 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
 
 
-def fit_linear(indices: list[np.ndarray], y: np.ndarray, smoothing: float = 1.0, penalty: float = 1.0, least: int = 3, steps: int = 60, negligible: float = 0.02) -> Linear:
-    """Ratios, then logistic regression on scaled presence, by Newton steps with conjugate gradients."""
+def fit_linear(indices: list[np.ndarray], y: np.ndarray, smoothing: float = 1.0, penalty: float = 1.0, least: int = 3, telling: float = 1.2, steps: int = 60, negligible: float = 0.02) -> Linear:
+    """Ratios, then logistic regression on scaled presence, by Newton steps with conjugate gradients.
+
+    Buckets met in fewer than ``least`` texts, or with a ratio below ``telling``, are left out."""
     size = 1 << BITS
-    flat = np.concatenate(indices) if indices else np.zeros(0, np.int64)
-    rows = np.repeat(np.arange(len(indices)), [len(i) for i in indices])
-    seen = np.bincount(flat, minlength=size)
-    toxic = np.bincount(flat, y[rows], size) + smoothing
+    seen, toxic = np.zeros(size), np.full(size, smoothing)
+    for own, label in zip(indices, y):
+        seen[own] += 1
+        toxic[own] += label
     other = seen - (toxic - smoothing) + smoothing
     ratio = np.log(toxic / toxic.sum()) - np.log(other / other.sum())
-    used = seen >= least
-    code = np.cumsum(used) - 1
-    keep = used[flat]
-    rows, columns = rows[keep], code[flat[keep]]
+    used = (seen >= least) & (np.abs(ratio) >= telling)
+    code = (np.cumsum(used) - 1).astype(np.int32)
+    chosen = [code[own[used[own]]] for own in indices]
+    rows = np.repeat(np.arange(len(indices), dtype=np.int32), [len(c) for c in chosen])
+    columns = np.concatenate(chosen)
     r = ratio[used]
     n, d = len(y), int(used.sum())
     values = r[columns]
@@ -127,7 +130,7 @@ def fit_linear(indices: list[np.ndarray], y: np.ndarray, smoothing: float = 1.0,
     folded[np.abs(folded) < negligible] = 0
     weights = np.zeros(size)
     weights[used] = folded
-    margin = np.bincount(rows, weights[flat[keep]], n)
+    margin = np.bincount(rows, folded[columns], n)
     for _ in range(25):  # the intercept that fits the weights that stayed
         p = 1 / (1 + np.exp(-np.clip(margin + b, -500, 500)))
         b -= (p - y).sum() / max((p * (1 - p)).sum(), 1e-6)
@@ -149,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS, id_colum
     if len(y) == 0 or y.min() == y.max():
         share = min(float(y.mean()) if len(y) else 0.0, 0.499)
         return Linear(np.zeros(1 << BITS), float(np.log((share + 1e-9) / (1 - share))))
-    return fit_linear([np.frombuffer(x, "<u4").astype(np.int64) for x in rows.column("x").to_pylist()], y)
+    return fit_linear([np.frombuffer(x.as_buffer(), "<u4") for x in rows.column("x")], y)
 
 
 def score(docs: DataFrame, model: Linear, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
