@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import queries_claims
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(queries_claims.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(queries_claims.SQL)
