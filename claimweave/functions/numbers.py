@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,8 +115,6 @@ def normalize_values(df: DataFrame, value: str = "value", unit: str = "unit", cu
 def exact_numbers(df: DataFrame, value: str = "value") -> DataFrame:
     """Rows of ``normalize_values`` with ``number_text``: exact digits of every number, by decimal
     arithmetic in Arrow batches only for the rows whose native number is null."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def by_hand(literals: pd.Series, scales: pd.Series, units: pd.Series) -> pd.Series:
         from decimal import Decimal, localcontext

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_claims
+from . import queries_claims, queries_text
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(queries_claims.QUERIES)
+    return queries_claims.QUERIES | queries_text.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(queries_claims.SQL)
+    return queries_claims.SQL | queries_text.SQL

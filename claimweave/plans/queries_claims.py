@@ -74,9 +74,10 @@ def decision_counts(spark, sf):
 
 
 def trace_complete(spark, sf):
-    """Steps by order and check: nine for each pair, in order."""
-    d = decisions(spark, sf).select(F.posexplode("trace").alias("at", "step"))
-    return d.where(F.col("at") + 1 == F.col("step.ord")).groupBy(F.col("step.ord").alias("ord"), F.col("step.check").alias("check_name"), F.col("step.outcome").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    """Whole traces as text: nine steps in order, with their outcomes."""
+    d = decisions(spark, sf)
+    steps = F.array_join(F.transform("trace", lambda s: F.concat_ws(" ", s["ord"].cast("string"), s["check"], s["outcome"])), ";")
+    return d.select(*_ids(d), steps.alias("steps"))
 
 
 def conf_classification(spark, sf):
@@ -90,7 +91,6 @@ def display_value(spark, sf):
     return c.select("fact_id", F.col("number").cast("decimal(18,2)").alias("shown"))
 
 
-_STEPS = ", ".join(f"({k}, '{c}', out_{c})" for k, c in enumerate(CHECKS, 1))
 _OUTCOMES = f"WITH {CLAIMS_SQL}"
 CHECK_SQL = {f"chk{k}_{name}": f"{_OUTCOMES} SELECT out_{c} AS outcome, count(*) AS n FROM outcomes GROUP BY 1" for k, name, c in zip(range(1, 10), ("entity", "predicate", "value", "rounding", "time", "vintage", "unit", "currency", "scope"), CHECKS)}
 
@@ -383,7 +383,7 @@ SQL = CHECK_SQL | LEDGER_SQL | EVALUATION_SQL | {
         SELECT a_id, b_id, CAST(similarity AS DECIMAL(18,6)) AS similarity FROM named JOIN supplier a ON a.s_suppkey = a_id JOIN supplier b ON b.s_suppkey = b_id WHERE a.s_nationkey = b.s_nationkey AND a_id % 3 <> b_id % 3""",
     "trace_outcomes": f"{_OUTCOMES} SELECT a_id, b_id, classification, reason, {', '.join(OUT)} FROM outcomes",
     "decision_counts": f"{_OUTCOMES} SELECT classification, reason, count(*) AS n FROM outcomes GROUP BY 1, 2",
-    "trace_complete": f"{_OUTCOMES} SELECT ord, check_name, outcome, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT {k} AS ord, '{c}' AS check_name, out_{c} AS outcome FROM outcomes" for k, c in enumerate(CHECKS, 1)) + ") GROUP BY 1, 2, 3",
-    "conf_classification": f"{_OUTCOMES} SELECT a_id, b_id, CAST(list_sum(list_transform([{', '.join(OUT)}], x -> CASE WHEN x IN ('passed', 'failed') THEN 1 ELSE 0 END)) / list_sum(list_transform([{', '.join(OUT)}], x -> CASE WHEN x <> 'skipped' THEN 1 ELSE 0 END)) AS DECIMAL(18,6)) AS confidence FROM outcomes",
+    "trace_complete": f"{_OUTCOMES} SELECT a_id, b_id, " + " || ';' || ".join(f"'{k} {c} ' || out_{c}" for k, c in enumerate(CHECKS, 1)) + " AS steps FROM outcomes",
+    "conf_classification": f"{_OUTCOMES} SELECT a_id, b_id, CAST((" + " + ".join(f"CASE WHEN {o} IN ('passed', 'failed') THEN 1 ELSE 0 END" for o in OUT) + ") / (" + " + ".join(f"CASE WHEN {o} <> 'skipped' THEN 1 ELSE 0 END" for o in OUT) + ") AS DECIMAL(18,6)) AS confidence FROM outcomes",
     "display_value": f"{_OUTCOMES} SELECT fact_id, CAST(number AS DECIMAL(18,2)) AS shown FROM claims",
 }
