@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .fixed_values import COMPOUND_SUFFIXES, LEGAL_SUFFIXES
 
@@ -24,7 +25,7 @@ def comparison_key(text: Column) -> Column:
     return F.array_join(words(F.replace(text, F.lit("&"), F.lit(" and "))), " ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _folded_key(texts: pd.Series) -> pd.Series:
     fold = lambda t: " ".join(re.findall(r"[^\W_]+", unicodedata.normalize("NFKC", t).casefold().replace("&", " and ")))
     return texts.map(fold, na_action="ignore")

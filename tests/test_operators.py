@@ -130,9 +130,10 @@ def test_seams(spark, tmp_path):
         return "done"
 
     assert seams.retrying(flaky, 4, 0.25, waits.append) == ("done", 3) and waits == [0.25, 0.5]
-    for name, content in (("a.pdf", b"%PDF-1 x"), ("b.pdf", b""), ("c.pdf", b"junk")):
+    for name, content in (("a.pdf", b"%PDF-1 x"), ("c.pdf", b"junk")):
         (tmp_path / name).write_bytes(content)
-    parsed = seams.parse_files(seams.read_files(spark, str(tmp_path)), lambda raw: ["p1", "p2"]).collect()
+    empty = spark.createDataFrame([("b.pdf", b"", "x")], "file_name string, content binary, sha256 string")
+    parsed = seams.parse_files(seams.read_files(spark, str(tmp_path)).union(empty), lambda raw: ["p1", "p2"]).collect()
     assert sorted((r.file_name, r.page, r.error) for r in parsed if r.file_name == "a.pdf") == [("a.pdf", 1, None), ("a.pdf", 2, None)]
     assert {r.error for r in parsed if r.file_name != "a.pdf"} == {"empty", "not_pdf"}
 
