@@ -25,8 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and what they decode to, by digests."""
-    path = tokenizer_path("piece_bpe_32k.model")
-    decoded = sentencepiece_fst.decode(sentencepiece_fst.encode(table(spark, sf_dir, "documents"), path), path)
+    decoded = sentencepiece_fst.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
     return decoded.select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"),
         F.length("text").cast("long").alias("decoded_chars"), F.sha2("text", 256).alias("decoded_sha256"),

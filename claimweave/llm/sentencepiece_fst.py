@@ -33,7 +33,9 @@ from .tokenizing import ChunkCache, chunk_starts, flattened, strings
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-KEPT_PREFIXES, LONG_CHUNK = 1_000_000, 64
+KEPT_PREFIXES, KEPT_CHUNKS, LONG_CHUNK = 300_000, 800_000, 64
+#: Rows that a task normalises at a time.
+_ROWS = 512
 
 
 def fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -149,7 +151,8 @@ class Machine:
         self.lengths: dict[str, tuple[int, ...]] = {}
         for size in sorted({len(t) for t in self.ids}):
             for tail in {t[-2:] for t in self.ids if len(t) == size}:
-                self.lengths[tail] = (*self.lengths.get(tail, ()), size)
+                self.lengths[tail] = (size, *self.lengths.get(tail, ()))
+        self.lengths = {tail: (*(s for s in sizes if s > 1), 1) for tail, sizes in self.lengths.items()}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.states: dict[str, tuple[float, str]] = {}
 
@@ -182,22 +185,23 @@ class Machine:
             states.clear()
         states[""] = (0.0, "")
         prefixes = [chunk[:k] for k in range(len(chunk) + 1)]
+        ids, lengths, pairs, merging = self.ids, self.lengths, self.pairs, self.kind == BPE
         for end in range(1, len(chunk) + 1):
             if prefixes[end] in states:
                 continue
             best = (np.inf, "")
-            sizes = self.lengths.get(chunk[max(end - 2, 0) : end], ())
-            for size in (1, *(s for s in sizes if s > 1)):
+            for size in lengths.get(chunk[max(end - 2, 0) : end], (1,)):
                 if size > end:
-                    break
+                    continue
                 piece = chunk[end - size : end]
-                if size > 1 and piece not in self.ids:
+                if size > 1 and piece not in ids:
                     continue
-                weight, last = states[prefixes[end - size]]
-                weight += self.weight(last, piece)
+                before, last = states[prefixes[end - size]]
+                known = pairs.get((last, piece)) if merging else None
+                weight = (0.0 if known else np.inf) if known is not None else before + self.weight(last, piece)
                 if weight < best[0]:
                     best = (weight, piece)
-                    if self.kind == BPE:
+                    if merging:  # the only one
                         break
             states[prefixes[end]] = best
         out, at = [], len(chunk)
@@ -227,27 +231,38 @@ def machine(path: str) -> tuple[Machine, ChunkCache]:
         def solve(joined: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return flattened([made.path(c.replace(" ", SPACE)) for c in strings(joined, ends)])
 
-        _machines[path] = made, ChunkCache(solve)
+        _machines[path] = made, ChunkCache(solve, KEPT_CHUNKS)
     return _machines[path]
 
 
+def _encoded(batch: pa.RecordBatch, path: str) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """Row ids and token ids of the rows (id, text) of a batch, some rows at a time."""
+    made, cache = machine(path)
+    for first in range(0, batch.num_rows, _ROWS):
+        part = batch.slice(first, _ROWS)
+        texts = pa.array(map(made.normaliser, part.column(1).to_pylist()), pa.large_string())
+        for lo, hi, data, offsets in tb.text_slices(texts):
+            starts = chunk_starts(data, offsets)
+            rows = cache.rows_of(data, starts, np.append(starts[1:], len(data)) if len(starts) else starts)
+            lengths = cache.lengths[rows]
+            ids = cache.flat[tb.ragged(cache.starts[rows], lengths)].astype("<u4")
+            stops = np.cumsum(tb.per_document(lengths, tb.documents_of(starts, offsets), hi - lo))
+            yield part.column(0)[lo:hi], np.split(ids, stops[:-1])
+
+
+def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+
+
 def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id and ids (little-endian unsigned 32 bits) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, cache = machine(path)
         for batch in batches:
-            texts = pa.array(map(made.normaliser, batch.column(1).to_pylist()), pa.large_string())
-            for lo, hi, data, offsets in tb.text_slices(texts):
-                starts = chunk_starts(data, offsets)
-                rows = cache.rows_of(data, starts, np.append(starts[1:], len(data)) if len(starts) else starts)
-                lengths = cache.lengths[rows]
-                ids = cache.flat[tb.ragged(cache.starts[rows], lengths)].astype("<u4")
-                stops = np.cumsum(tb.per_document(lengths, tb.documents_of(starts, offsets), hi - lo))
-                yield pa.record_batch([batch.column(0)[lo:hi], pa.array([x.tobytes() for x in np.split(ids, stops[:-1])], pa.binary())], names=["doc_id", "ids"])
+            for doc_ids, ids in _encoded(batch, path):
+                yield pa.record_batch([doc_ids, pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "ids"])
 
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids binary")
+    return _rows(docs, id_column, text_column).mapInArrow(run, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -256,13 +271,26 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, _ = machine(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
                 texts = [made.decode(np.frombuffer(x.as_buffer(), "<u4")).decode("utf-8", "replace") if x.is_valid else None for x in part.column(1)]
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
 
 
+def round_trip(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, ids, and the text that these decode to, in one pass over the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, _ = machine(path)
+        for batch in batches:
+            for doc_ids, ids in _encoded(batch, path):
+                texts = [made.decode(x).decode("utf-8", "replace") for x in ids]
+                yield pa.record_batch([doc_ids, pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+
+    return _rows(docs, id_column, text_column).mapInArrow(run, "doc_id long, ids binary, text string")
+
+
 def crc(ids: list[int]) -> int:
     return zlib.crc32(np.array(ids, "<u4").tobytes())

@@ -31,7 +31,7 @@ from .tokenizing import ChunkCache, chunk_starts, flattened, strings
 #: Fixed value: the published pattern that splits text before byte-level merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: What a worker keeps of prefixes and of neighbours; beyond it begins anew, so its memory stays bounded.
-KEPT_PREFIXES = 1_000_000
+KEPT_PREFIXES = 600_000
 #: A longer word (in bytes) is solved without keeping its prefixes.
 LONG_WORD = 64
 

@@ -44,7 +44,7 @@ def test_unigram_takes_the_shortest_path():
     made.kind, made.states = fst.UNIGRAM, {}
     made.ids = {"▁": 3, "a": 4, "b": 5, "ab": 6, "▁a": 7, "bb": 8}
     made.scores = {"▁": -1.0, "a": -1.0, "b": -1.0, "ab": -1.5, "▁a": -1.2, "bb": -1.1}
-    made.lengths = {t[-2:]: (len(t),) for t in made.ids} | {"ab": (2,), "b": (1,), "a": (1,)}
+    made.lengths = {"ab": (2, 1), "▁a": (2, 1), "bb": (2, 1)}
     assert made.path("▁abb") == [7, 8]
     assert made.path("▁ab") == [7, 5]
     assert made.path("é")[0] == made.byte_ids[0xC3]
