@@ -59,11 +59,11 @@ def unit_text(unit: Column) -> Column:
 
 
 def _known_unit(text: Column) -> Column:
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
+    """The longest spelling that the text holds as whole words. One constant table, so plans stay small."""
     spelled = {a: (u, d, f) for u, d, f, names in UNITS for a in names}
-    as_key = lambda a: "percent" if a == "%" else a
-    spec = lambda a: F.struct(F.lit(a).alias("alias"), F.lit(spelled[a][0]).alias("unit"), F.lit(spelled[a][1]).alias("dimension"), F.lit(spelled[a][2]).cast(FACTOR).alias("factor"))
-    return _first([(padded.contains(f" {as_key(a)} "), spec(a)) for a in _longest_first(spelled)])
+    table = F.array(*(F.struct(F.lit(a).alias("alias"), *(F.lit(x).alias(n) for n, x in zip(("unit", "dimension"), spelled[a])), F.lit(spelled[a][2]).cast(FACTOR).alias("factor")) for a in _longest_first(spelled)))
+    padded = F.concat(F.lit(" "), text, F.lit(" "))
+    return F.try_element_at(F.filter(table, lambda s: padded.contains(F.concat(F.lit(" "), F.when(s["alias"] == "%", "percent").otherwise(s["alias"]), F.lit(" ")))), F.lit(1))
 
 
 def find_unit(value: Column, unit: Column, scale: Column) -> Column:
