@@ -6,15 +6,16 @@ parts as the band's largest size; a set's signature at a part is its features th
 distance d differ in at most d parts, and links have d <= (|a| + |b|) / 7. So of the signatures of a
 set's p parts that aren't empty, in any order all sets share, the first d + 1 meet those of each
 partner (if they meet nowhere, p - d signatures can't be common); the enumerated subsets of parts are
-these. The order puts parts that hold only frequent shingles last: a passage that a third of all
-documents share then makes no signature where others suffice. Sets with p <= d all get one more.
+these. The order puts parts last that hold only frequent shingles, and before these such as hold only
+shingles of short words, which are the common ones: a passage that a third of all documents share
+then makes no signature where others suffice. Sets with p <= d all get one more.
 
 Work on all texts stays in the tasks that read them: 5-byte signatures with document numbers, packed
 by bucket, are all that is shuffled, and the groups of a signature with two documents or more all
 that is kept. Copies of one set count once. First each document is compared with one partner, the
 smallest of its groups; then, of groups that aren't yet one component, the pairs between components.
-A 512-bit parity sketch, whose distance never exceeds the sets', drops pairs before texts are joined;
-what is left is compared by whole sets. No pair is left out and none is needed inside a component.
+Parity sketches, of 512 bits and then as long as the sets ask, whose distance never exceeds the sets', drop pairs before
+texts are joined; what is left is compared by whole sets. No pair is left out and none is needed inside a component.
 
 Frequencies are collected from all documents, and a bounded list of those above a share of them goes
 to the tasks; they set the order of signatures only, and any order gives the same result.
@@ -38,15 +39,21 @@ from pyspark.sql import functions as F
 
 from . import textbatch as tb
 from .components import components
-from .shingles import linked, shingle_sets
+from .shingles import linked, measured_shingles, shingle_sets
 from .storage import stored
 
 #: A shingle is frequent in this share of documents, or in FREQUENT_LEAST if that is more.
 FREQUENT_SHARE, FREQUENT_LEAST = 0.003, 24
 #: Documents that a task counts shingles over at a time; it reports those in FREQUENT_HERE of them.
-COUNTED, FREQUENT_HERE = 2_000, 8
-BUCKET_ROWS, FLUSH_ROWS = 1_500_000, 3_000_000
+COUNTED, FREQUENT_HERE = 1_000, 8
+#: Classes of shingles by the bytes of their words, shorter ones later; frequent shingles come after all of these.
+LENGTH_CLASSES = 24
+BUCKET_ROWS, FLUSH_ROWS = 1_000_000, 1_000_000
 SKETCH = [f"s{k}" for k in range(8)]
+#: Partners that each set is compared with first: the smallest of its groups under so many orders.
+PARTNERS = 12
+#: Bits for each shingle of the finer sketch, made only of documents in groups, that pairs pass before their texts are joined.
+FINE_BITS = 4
 #: Bits of the filter of needed documents: 256 rows of 4 KB at most.
 FILTER_BLOCKS = 2048
 
@@ -144,7 +151,7 @@ def frequent_shingles(all_measured: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     met = all_measured.where("kind = 1").groupBy("key1").agg(F.sum("n").alias("n")).where(F.col("n") >= max(FREQUENT_LEAST, FREQUENT_SHARE * n_docs)).toArrow()
     values = met.column("key1").to_numpy().view(np.uint64)
     order = np.argsort(values)
-    return values[order], np.clip(np.log2(np.maximum(met.column("n").to_numpy()[order], 1)).astype(np.int64), 1, 63)
+    return values[order], np.clip(LENGTH_CLASSES + np.log2(np.maximum(met.column("n").to_numpy()[order], 1)).astype(np.int64), LENGTH_CLASSES + 1, 63)
 
 
 def signature_groups(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], n_buckets: int, wide: bool) -> DataFrame:
@@ -175,12 +182,13 @@ def signature_groups(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], n
         for batch in batches:
             for lo, _, data, offsets in tb.text_slices(batch.column(1)):
                 ids = batch.column(0)[lo : lo + len(offsets) - 1].to_numpy()
-                sets = shingle_sets(data, offsets)
+                measured_sets = measured_shingles(data, offsets)
+                sets = [own for own, _ in measured_sets]
                 flat = np.concatenate(sets)
-                level = np.zeros(len(flat), np.int64)
+                level = np.clip((56 - np.concatenate([size for _, size in measured_sets])) // 2, 0, LENGTH_CLASSES)
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
-                    level = np.where(keys[at] == flat, levels[at], 0)
+                    level = np.where(keys[at] == flat, levels[at], level)
                 at = 0
                 for doc, own in zip(ids.tolist(), sets):
                     own_level = level[at : at + len(own)]
@@ -247,8 +255,52 @@ def bit_filtered(docs: DataFrame, needed: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(bits), "block").where(test).select("doc_id", "text")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those whose whole sets link."""
+def parities(own: np.ndarray) -> bytes:
+    """Parities by the low bits of the hashes; a power of two of at least FINE_BITS for each."""
+    size = max(512, 1 << (FINE_BITS * len(own) - 1).bit_length())
+    counts = np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """At most the distance of two sets, by their parities; the longer is folded to the shorter's length."""
+    a, b = (np.frombuffer(v, np.uint64) for v in (x, y))
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
+
+
+def fine_sketches(texts: DataFrame) -> DataFrame:
+    """doc_id, size and parities of each text's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in tb.text_slices(batch.column(1)):
+                sets = shingle_sets(data, offsets)
+                yield pa.record_batch([batch.column(0)[lo:hi], pa.array([len(s) for s in sets], pa.int64()), pa.array(map(parities, sets), pa.binary())], names=["doc_id", "n", "bits"])
+
+    return texts.mapInArrow(run, "doc_id long, n long, bits binary")
+
+
+def possible(pairs: DataFrame, fine: DataFrame) -> DataFrame:
+    """Pairs (a, b) without those whose fine sketches lie farther apart than linked sets can."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(k).to_pylist() for k in range(2, 6)))
+            yield batch.select([0, 1]).filter(pa.array([7 * apart(x, y) <= n + m for n, x, m, y in rows], pa.bool_()))
+
+    left, right = (fine.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in ("a", "b"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(check, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of pairs (a, b) those whose whole sets link; the texts of no other document are moved."""
+    pairs = stored(pairs, "jaccard-pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = stored(bit_filtered(docs, ids), "jaccard-texts")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,15 +346,19 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     as_reps = groups.join(rep_of.withColumnRenamed("doc_id", "doc"), "doc").select("gid", "rep").distinct()
     members = stored(as_reps, "jaccard-groups")
     needed = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = stored(bit_filtered(known, needed), "jaccard-texts")
+    fine = stored(fine_sketches(bit_filtered(known, needed)), "jaccard-fine")
     marks = named.where("doc_id = rep").select("rep", "n", *SKETCH).distinct()
 
-    # One partner each: the smallest of all its groups.
-    least = members.groupBy("gid").agg(F.min("rep").alias("center"))
-    partner = members.join(least, "gid").where("center < rep").groupBy("rep").agg(F.min("center").alias("center"))
+    # A few partners each: under each order (the bits of the id, some flipped) the smallest other of all its groups.
+    flips = [int(v) for v in tb.mix(np.arange(PARTNERS, dtype=np.uint64)) & np.uint64((1 << 62) - 1)]
+    flipped = lambda k: F.col("rep").bitwiseXOR(F.lit(flips[k]))
+    least = members.groupBy("gid").agg(*(F.min(flipped(k)).alias(f"m{k}") for k in range(PARTNERS)))
+    chosen = members.join(least, "gid").groupBy("rep").agg(*(F.min(F.when(F.col(f"m{k}") != flipped(k), F.col(f"m{k}"))).alias(f"m{k}") for k in range(PARTNERS)))
+    partners = F.array_compact(F.array(*(F.col(f"m{k}").bitwiseXOR(F.lit(flips[k])) for k in range(PARTNERS))))
+    partner = chosen.select("rep", F.explode(F.array_distinct(partners)).alias("center")).select(F.greatest("rep", "center").alias("rep"), F.least("rep", "center").alias("center")).distinct()
     x, y = marks.alias("x"), marks.alias("y")
     first = partner.join(x, F.col("x.rep") == partner["rep"]).join(y, F.col("y.rep") == partner["center"]).where(_near("x", "y")).select(F.col("y.rep").alias("a"), F.col("x.rep").alias("b"))
-    links = stored(verified(first, texts), "jaccard-links").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    links = stored(verified(possible(first, fine), known), "jaccard-links").select(F.col("a").alias("u"), F.col("b").alias("v"))
     found = stored(components(links), "jaccard-components")
 
     # Groups of two components or more: the pairs between these.
@@ -312,7 +368,7 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     p, q = still.alias("p"), still.alias("q")
     between = p.join(q, (F.col("p.gid") == F.col("q.gid")) & (F.col("p.rep") < F.col("q.rep")) & (F.col("p.component") != F.col("q.component")) & F.expr(_near("p", "q")))
     second = between.select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).distinct()
-    more = stored(verified(second, texts), "jaccard-links").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    more = stored(verified(possible(second, fine), known), "jaccard-links").select(F.col("a").alias("u"), F.col("b").alias("v"))
     final = components(more.union(found.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
     # Documents with one id are one node, whatever their sets.
