@@ -50,8 +50,8 @@ COUNTED, FREQUENT_HERE = 1_000, 8
 LENGTH_CLASSES = 24
 BUCKET_ROWS, FLUSH_ROWS = 1_000_000, 1_000_000
 SKETCH = [f"s{k}" for k in range(8)]
-#: Partners that each set is compared with first: the smallest of its groups under so many orders.
-PARTNERS = 12
+#: Partners that each set is compared with first: under so many orders, the set that is smallest in most of its groups.
+PARTNERS = 6
 #: Bits for each shingle of the finer sketch, made only of documents in groups, that pairs pass before their texts are joined.
 FINE_BITS = 4
 #: Bits of the filter of needed documents: 256 rows of 4 KB at most.
@@ -349,13 +349,15 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     fine = stored(fine_sketches(bit_filtered(known, needed)), "jaccard-fine")
     marks = named.where("doc_id = rep").select("rep", "n", *SKETCH).distinct()
 
-    # A few partners each: under each order (the bits of the id, some flipped) the smallest other of all its groups.
+    # A few partners each: under each order (the bits of the id, some flipped) the smallest of most of its groups.
+    # Groups by chance differ in their smallest sets, those of near copies agree.
     flips = [int(v) for v in tb.mix(np.arange(PARTNERS, dtype=np.uint64)) & np.uint64((1 << 62) - 1)]
     flipped = lambda k: F.col("rep").bitwiseXOR(F.lit(flips[k]))
     least = members.groupBy("gid").agg(*(F.min(flipped(k)).alias(f"m{k}") for k in range(PARTNERS)))
-    chosen = members.join(least, "gid").groupBy("rep").agg(*(F.min(F.when(F.col(f"m{k}") != flipped(k), F.col(f"m{k}"))).alias(f"m{k}") for k in range(PARTNERS)))
-    partners = F.array_compact(F.array(*(F.col(f"m{k}").bitwiseXOR(F.lit(flips[k])) for k in range(PARTNERS))))
-    partner = chosen.select("rep", F.explode(F.array_distinct(partners)).alias("center")).select(F.greatest("rep", "center").alias("rep"), F.least("rep", "center").alias("center")).distinct()
+    seen = [F.when(F.col(f"m{k}") != flipped(k), F.struct(F.lit(k).alias("k"), F.col(f"m{k}").bitwiseXOR(F.lit(flips[k])).alias("center"))) for k in range(PARTNERS)]
+    votes = members.join(least, "gid").select("rep", F.explode(F.array_compact(F.array(*seen))).alias("v")).groupBy("rep", "v.k", "v.center").agg(F.count(F.lit(1)).alias("n"))
+    chosen = votes.groupBy("rep", "k").agg(F.max_by("center", F.struct("n", "center")).alias("center"))
+    partner = chosen.select(F.greatest("rep", "center").alias("rep"), F.least("rep", "center").alias("center")).distinct()
     x, y = marks.alias("x"), marks.alias("y")
     first = partner.join(x, F.col("x.rep") == partner["rep"]).join(y, F.col("y.rep") == partner["center"]).where(_near("x", "y")).select(F.col("y.rep").alias("a"), F.col("x.rep").alias("b"))
     links = stored(verified(possible(first, fine), known), "jaccard-links").select(F.col("a").alias("u"), F.col("b").alias("v"))
