@@ -92,8 +92,8 @@ def normalize_values(df: DataFrame, value: str = "value", unit: str = "unit", cu
     """Adds kind, number, text_value, canonical_unit, dimension, canonical_currency, scale_by, unit_by and step.
 
     ``number`` and ``step`` (the rounding quantum) are decimal(38,12). A number of more than 13 digits
-    before or 6 after its point, or a factor of 10^12 and more, has kind "numeric" and a null number:
-    such rows go through ``exact_numbers``.
+    before or 6 after its point, or a factor of 10^12 and more of a unit's factor other than 1, has kind
+    "numeric" and a null number: such rows go through ``exact_numbers`` and ``compare_exactly``.
     """
     v, u, c = F.col(value), F.col(unit), F.col(currency)
     out = df.withColumn("canonical_currency", currency_code(c, v)).withColumn("_scale", scale_word(v, u))
@@ -107,9 +107,51 @@ def normalize_values(df: DataFrame, value: str = "value", unit: str = "unit", cu
     out = out.withColumn("canonical_unit", F.col("_unit.unit")).withColumn("dimension", F.col("_unit.dimension"))
     out = out.withColumn("scale_by", F.when(numeric, scale_factor(F.col("_scale")))).withColumn("unit_by", F.when(numeric, F.coalesce("_unit.factor", F.lit(1).cast(FACTOR))))
     factor = (F.col("scale_by") * F.col("unit_by")).try_cast(FACTOR)
+    # A scale alone has no decimal places, so it may be larger.
+    scaled = lambda c: F.coalesce((c * factor).cast(EXACT), F.when(F.col("unit_by") == 1, (c * F.col("scale_by")).cast(EXACT)))
     fits = F.length(F.split_part("_literal", F.lit("."), F.lit(2))) <= 6
-    out = out.withColumn("number", F.when(numeric & fits, parsed_number(v) * factor).cast(EXACT))
-    return out.withColumn("step", F.when(numeric, quantum(v) * factor).cast(EXACT)).drop("_scale", "_unit", "_date", "_literal")
+    out = out.withColumn("number", F.when(numeric & fits, scaled(parsed_number(v))))
+    return out.withColumn("step", F.when(numeric, scaled(quantum(v)))).drop("_scale", "_unit", "_date", "_literal")
+
+
+def _signed_literal(value: Column) -> Column:
+    return F.concat(F.when((F.regexp_extract(value, NUMBER, 2) == "-") | (F.regexp_extract(value, NUMBER, 1) == "("), "-").otherwise(""), literal(value))
+
+
+def factors_text(value: Column, *factors: Column) -> Column:
+    """A written number and its factors as text, for ``compare_exactly``."""
+    return F.concat_ws(" ", _signed_literal(value), *(f.cast("string") for f in factors))
+
+
+def compare_exactly(left: Column, right: Column) -> Column:
+    """equal, rounded (different steps whose intervals overlap), and number and step of both sides as text, by
+    decimal arithmetic of any length. Sides are texts of ``factors_text``; a null side has null results."""
+    @F.pandas_udf("equal boolean, rounded boolean, number_a string, step_a string, number_b string, step_b string")
+    def by_hand(lefts: pd.Series, rights: pd.Series) -> pd.DataFrame:
+        from decimal import Decimal, localcontext
+
+        def parts(side):
+            first, *factors = map(Decimal, side.split(" "))
+            number, step = first, Decimal(1).scaleb(first.as_tuple().exponent)
+            for f in factors:
+                number, step = number * f, step * f
+            return number + 0, step
+
+        def text(x):
+            return format(x.normalize(), "f")
+
+        out = []
+        for a, b in zip(lefts, rights):
+            with localcontext() as c:
+                c.prec = len(a or "") + len(b or "") + 10
+                x, y = parts(a) if a else None, parts(b) if b else None
+                both = x is not None and y is not None
+                equal = x[0] == y[0] if both else None
+                rounded = x[1] != y[1] and 2 * abs(x[0] - y[0]) < x[1] + y[1] if both else None
+                out.append((equal, rounded, *(map(text, x) if x else (None, None)), *(map(text, y) if y else (None, None))))
+        return pd.DataFrame(out, columns=["equal", "rounded", "number_a", "step_a", "number_b", "step_b"], dtype="object")
+
+    return by_hand(left, right)
 
 
 def exact_numbers(df: DataFrame, value: str = "value") -> DataFrame:
@@ -124,8 +166,7 @@ def exact_numbers(df: DataFrame, value: str = "value") -> DataFrame:
             return pd.Series([format((Decimal(x) * Decimal(s) * Decimal(u)).normalize(), "f") for x, s, u in zip(literals, scales, units)])
 
     over = (F.col("kind") == "numeric") & F.col("number").isNull()
-    signed = F.concat(F.when((F.regexp_extract(value, NUMBER, 2) == "-") | (F.regexp_extract(value, NUMBER, 1) == "("), "-").otherwise(""), literal(F.col(value)))
-    hard = df.where(over).withColumn("number_text", by_hand(signed, F.col("scale_by").cast("string"), F.col("unit_by").cast("string")))
+    hard = df.where(over).withColumn("number_text", by_hand(_signed_literal(F.col(value)), F.col("scale_by").cast("string"), F.col("unit_by").cast("string")))
     plain = F.regexp_replace(F.regexp_replace(F.col("number").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     return df.where(~over).withColumn("number_text", plain).unionByName(hard)
 

@@ -1,7 +1,7 @@
 """The ordered checks on a pair of facts, as one projection: class, reasons, outcomes and trace.
 
-Columns by side (prefix a_ or b_): entity_key, predicate_key, kind, number, text_value, canonical_unit,
-dimension, canonical_currency, step, unit, currency, period and vintage (structs of start, end, parsed,
+Columns by side (prefix a_ or b_): entity_key, predicate_key, kind, value, scale_by, unit_by (rate, if converted),
+number, text_value, canonical_unit, dimension, canonical_currency, step, unit, currency, period and vintage (structs of start, end, parsed,
 with their texts period_text and vintage_text), scope.
 """
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from claimweave.functions.fixed_values import CHECKS
 from claimweave.functions.keys import scope_key
+from claimweave.functions.numbers import compare_exactly, factors_text
 
 
 def _a(name: str) -> Column:
@@ -44,10 +45,14 @@ def classify(pairs: DataFrame) -> DataFrame:
     """Adds classification, reasons, out_<check> for the nine checks, trace and explanation."""
     comparable = _same("canonical_unit") & _same("dimension") & _same("canonical_currency")
     numeric = _a("kind") == "numeric"
+    # Pairs with a number that the native type can't hold are compared by exact digits.
+    hard = (numeric & _a("number").isNull()) | ((_b("kind") == "numeric") & _b("number").isNull())
+    written = [F.when(hard & (x("kind") == "numeric"), factors_text(x("value"), *(x(f) for f in ("scale_by", "unit_by", "rate") if f"{p}_{f}" in pairs.columns))) for p, x in (("a", _a), ("b", _b))]
+    pairs = pairs.withColumn("_exact", compare_exactly(*written))
     equal = (
         F.when(_a("kind") != _b("kind"), None)
         .when(~numeric, _a("text_value") == _b("text_value"))
-        .when(comparable, _a("number") == _b("number"))
+        .when(comparable, F.coalesce("_exact.equal", _a("number") == _b("number")))
     )
     d = pairs.withColumn("_entity", (_a("entity_key") == _b("entity_key")) | F.col("resolved")).withColumn("_predicate", _a("predicate_key") == _b("predicate_key"))
     d = d.withColumn("_equal", equal)
@@ -55,7 +60,7 @@ def classify(pairs: DataFrame) -> DataFrame:
     money = [F.upper(F.coalesce(F.nullif(c("currency"), F.lit("")), c("canonical_currency"), F.lit(""))) for c in (_a, _b)]
     minted = (money[0] != "") & (money[1] != "") & (money[0] != money[1]) & _same("canonical_currency")
     d = d.withColumn("_unit", F.coalesce(spelled, F.lit(False))).withColumn("_currency", F.coalesce(minted, F.lit(False)))
-    rounded = numeric & (_b("kind") == "numeric") & comparable & (_a("step") != _b("step")) & (2 * F.abs(_a("number") - _b("number")) < _a("step") + _b("step"))
+    rounded = numeric & (_b("kind") == "numeric") & comparable & F.coalesce("_exact.rounded", (_a("step") != _b("step")) & (2 * F.abs(_a("number") - _b("number")) < _a("step") + _b("step")))
     d = d.withColumn("_rounded", F.coalesce(rounded, F.lit(False))).withColumn("_time", compare_periods("period")).withColumn("_vintage", compare_periods("vintage"))
     sa, sb = scope_key(_a("scope")), scope_key(_b("scope"))
     d = d.withColumn("_scopes", F.when(sa.isNull() & sb.isNull(), "same").when(sa.isNull() | sb.isNull(), "unknown").when(sa == sb, "same").otherwise("different"))
@@ -104,13 +109,14 @@ def classify(pairs: DataFrame) -> DataFrame:
         F.when(reached >= 4, yes(F.col("_rounded"))), F.when(reached >= 5, three(F.col("_time"))), F.when(reached >= 6, three(F.col("_vintage"))),
         represented("_unit"), represented("_currency"), F.when(reached >= 9, three(F.col("_scopes"))),
     ]
-    display = lambda c: F.coalesce(c("number").cast("string"), c("text_value"))
+    display = lambda c, p: F.coalesce(c("number").cast("string"), f"_exact.number_{p}", c("text_value"))
+    quantum = lambda c, p: F.coalesce(c("step").cast("string"), f"_exact.step_{p}")
     pair = lambda name, x=_a, y=_b: {f"{name}_a": x(name).cast("string"), f"{name}_b": y(name).cast("string")}
     details = [
         {"entity_a": _a("entity_key"), "entity_b": _b("entity_key"), "match_method": F.when(_a("entity_key") == _b("entity_key"), "canonical_key").otherwise("bounded_llm_tiebreak")},
         {"predicate_a": _a("predicate_key"), "predicate_b": _b("predicate_key")},
-        {"value_a": display(_a), "value_b": display(_b)},
-        {"quantum_a": _a("step").cast("string"), "quantum_b": _b("step").cast("string")},
+        {"value_a": display(_a, "a"), "value_b": display(_b, "b")},
+        {"quantum_a": quantum(_a, "a"), "quantum_b": quantum(_b, "b")},
         {"comparison": F.col("_time")}, {"comparison": F.col("_vintage")},
         {"unit_a": _a("canonical_unit"), "unit_b": _b("canonical_unit"), "dimension_a": _a("dimension"), "dimension_b": _b("dimension")},
         {"currency_a": _a("canonical_currency"), "currency_b": _b("canonical_currency")},
@@ -121,7 +127,7 @@ def classify(pairs: DataFrame) -> DataFrame:
     d = d.withColumn("classification", classification).withColumn("reasons", reasons).withColumn("explanation", explanation)
     d = d.withColumns({f"out_{c}": F.coalesce(o, F.lit("skipped")) for c, o in zip(CHECKS, outcomes)})
     d = d.withColumn("trace", F.array(*map(step, range(len(CHECKS)))))
-    return d.drop("_entity", "_predicate", "_equal", "_unit", "_currency", "_rounded", "_time", "_vintage", "_scopes", "_gap", "_stage")
+    return d.drop("_exact", "_entity", "_predicate", "_equal", "_unit", "_currency", "_rounded", "_time", "_vintage", "_scopes", "_gap", "_stage")
 
 
 def classification_confidence(trace: Column) -> Column:
