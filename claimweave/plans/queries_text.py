@@ -103,7 +103,7 @@ def label_detect(spark, sf):
     """Words of line items laid on pages."""
     li = table(spark, sf, "lineitem")
     x, y = (F.col("l_partkey") % 60) * 10.0, F.when(F.col("l_linenumber") % 2 == 0, 780.0).otherwise(F.col("l_suppkey") % 80 * 10.0)
-    words = li.select((F.col("l_orderkey") % 500).alias("document_id"), F.col("l_linenumber").alias("page"), x.alias("x0"), y.alias("y0"), (x + 9).alias("x1"), (y + 8).alias("y1"), (F.col("l_suppkey") % 150).cast("string").alias("word"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
+    words = li.select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("page"), x.alias("x0"), y.alias("y0"), (x + 9).alias("x1"), (y + 8).alias("y1"), (F.col("l_suppkey") % 150).cast("string").alias("word"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
     return pages.detect_labels(words)
 
 
