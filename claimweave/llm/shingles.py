@@ -13,38 +13,30 @@ _STEPS = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x16566
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """A sorted array for each document of a slice: its distinct shingles; with one to four words, one
     shingle of them all; without words none. Words are lower-cased by A-Z only."""
-    return [own for own, _ in measured_shingles(data, offsets)]
-
-
-def measured_shingles(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The same with each shingle's size, the bytes of its words: shingles of short words are the common ones."""
     n = len(offsets) - 1
     starts, ends, owners = tb.word_spans(data, offsets)
     hashes = tb.hash_spans(data, starts, ends, lower=True)
-    upto = np.concatenate([[0], np.cumsum(ends - starts)])
     counts = np.bincount(owners, minlength=n) if len(owners) else np.zeros(n, np.int64)
     firsts = np.cumsum(counts) - counts
     m = max(len(hashes) - WORDS + 1, 0)
     whole = np.zeros(m, np.uint64)
     for k in range(WORDS if m else 0):
         whole += hashes[k : k + m] * _STEPS[k]
-    whole, sizes = tb.mix(whole), upto[WORDS:] - upto[: len(upto) - WORDS] if m else np.zeros(0, np.int64)
+    whole = tb.mix(whole)
     sets = []
     for first, count in zip(firsts.tolist(), counts.tolist()):
         if count >= WORDS:
-            own = whole[first : first + count - WORDS + 1]
-            order = np.argsort(own)
-            own = own[order]
+            own = np.sort(whole[first : first + count - WORDS + 1])
             fresh = np.ones(len(own), bool)
             np.not_equal(own[1:], own[:-1], out=fresh[1:])
-            sets.append((own[fresh], sizes[first : first + count - WORDS + 1][order][fresh]))
+            sets.append(own[fresh])
         elif count:
             value = np.full(1, count, np.uint64)
             for k in range(count):
-                value += hashes[first + k] * _STEPS[k]
-            sets.append((tb.mix(value), upto[[first + count]] - upto[first]))
+                value += hashes[first + k : first + k + 1] * _STEPS[k]
+            sets.append(tb.mix(value))
         else:
-            sets.append((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+            sets.append(np.zeros(0, np.uint64))
     return sets
 
 

@@ -96,10 +96,46 @@ def test_every_linked_pair_shares_a_signature():
         inter = len(np.intersect1d(a, b))
         if 4 * inter < 3 * (len(a) + len(b) - inter):
             continue
-        level = lambda s: (s % np.uint64(7) == 0).astype(np.int64) * 5
-        of_a, of_b = ({int(v) for _, values in jaccard_join.signatures(s, level(s)) for v in values} for s in (a, b))
-        assert of_a & of_b
-        assert 7 * int(np.bitwise_count((jaccard_join.sketch(a) ^ jaccard_join.sketch(b)).view(np.uint64)).sum()) <= len(a) + len(b)
+        rare = lambda s: (s % np.uint64(3) == 0).astype(float)
+        of_a, of_b = ({int(v) for _, values in jaccard_join.signatures(s, rare(s)) for v in values} for s in (a, b))
+        assert of_a & of_b or len(a) == len(b) == inter
+        assert 7 * jaccard_join.apart(jaccard_join.parities(a), jaccard_join.parities(b)) <= len(a) + len(b)
+
+
+def test_least_common_signatures():
+    """The bound on common signatures, over random changes of whole signature sets."""
+    rng = np.random.default_rng(6)
+    for _ in range(400):
+        n = int(rng.integers(4, 80))
+        a = np.unique(tb.mix(rng.integers(0, 1 << 62, n).astype(np.uint64)))
+        for instance, _, d in jaccard_join.instances(len(a)):
+            b = np.union1d(a[d // 2 :], tb.mix(rng.integers(0, 1 << 62, d - d // 2).astype(np.uint64)))
+            everything = {}
+            p = jaccard_join.partitions(instance)
+            for name, own in (("a", a), ("b", b)):
+                cell = ((own * jaccard_join._odd(2 * instance)) >> np.uint64(20)) % np.uint64(3 * p)
+                everything[name] = {(q, left): frozenset(own[(cell // np.uint64(3) == q) & (cell % np.uint64(3) != left)].tolist()) for q in range(p) for left in range(3)}
+            common = sum(everything["a"][k] == everything["b"][k] for k in everything["a"])
+            assert common >= jaccard_join.least_common(p, len(np.setxor1d(a, b))) >= 1
+
+
+def test_hot_signatures_and_any_ids(spark, monkeypatch):
+    """Few rows a flush and a low bound: groups meet over salted buckets; ids may be negative or very large."""
+    monkeypatch.setattr(jaccard_join, "HOT_LEAST", 2)
+    monkeypatch.setattr(jaccard_join, "BUCKET_ROWS", 40)
+    monkeypatch.setattr(jaccard_join, "FLUSH_ROWS", 150)
+    rows = [((-1) ** k * ((1 << 62) + d) if d is not None and k % 3 else d, t) for k, (d, t) in enumerate(near_copies(3))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got, want = result(jaccard_join.classes(docs)), brute(rows)
+    assert got == want
+
+
+def test_families_by_blocks(spark, monkeypatch):
+    """Without first partners, all links are found block by block."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 4)
+    monkeypatch.setattr(jaccard_join, "first_pairs", lambda members: members.sparkSession.createDataFrame([], "a long, b long"))
+    rows = near_copies(4)
+    assert result(jaccard_join.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))) == brute(rows)
 
 
 def test_shingles_by_document():
