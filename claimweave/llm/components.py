@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import dropped, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -25,8 +25,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v")))
-        edges = stored(small.where("u != v").distinct(), "edges")
-        new = _state(edges)
+        fewer = stored(small.where("u != v").distinct(), "edges")
+        dropped(edges)
+        edges, new = fewer, _state(fewer)
         if new == state:
             break
         state = new

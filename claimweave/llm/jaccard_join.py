@@ -16,10 +16,10 @@ by bucket, are all that is shuffled, and the groups of a signature with two docu
 that is kept. A signature that is frequent in a task goes to its bucket once, and its documents to
 many others. Copies of one set count once. First each document is compared with a few partners, the
 smallest of most of its groups under as many orders. Documents of groups that aren't yet one component
-then form families around the largest component of most of their groups. Parity sketches as long as
-the sets ask, whose distance never exceeds the sets', are packed in blocks and compared block by block
-within a family; pairs of a group across families are joined by its signature. What the sketches can't
-tell apart is compared by whole sets. No pair is left out and none is needed inside a component.
+then form families around the largest component of most of their groups; a group that several families
+meet in is one more family. Parity sketches as long as the sets ask, whose distance never exceeds the
+sets', are packed in blocks and compared block by block within a family. What the sketches can't tell
+apart is compared by whole sets. No pair is left out and none is needed inside a component.
 
 Frequencies are collected from all documents, and a bounded list of the most frequent goes to the
 tasks; they set the order of signatures only, and any order gives the same result.
@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from . import textbatch as tb
 from .components import components
 from .shingles import linked, shingle_sets
-from .storage import stored
+from .storage import dropped, stored
 
 #: A shingle is frequent in this share of documents, or in FREQUENT_LEAST if that is more; so many are listed at most.
 FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_MOST = 0.003, 24, 500_000
@@ -401,12 +401,11 @@ def met_in_families(packed: DataFrame) -> DataFrame:
         & F.expr("NOT (x.low = x.high AND y.low = y.high AND x.low = y.low) AND 4 * x.most >= 3 * y.least AND 4 * y.most >= 3 * x.least")
     )
     both = x.join(y, met).select(*(F.col(f"x.{c}").alias(f"{c}_x") for c in blobs), *(F.col(f"y.{c}").alias(f"{c}_y") for c in blobs))
-    return both.mapInArrow(check, "a long, b long").distinct()
+    return both.mapInArrow(check, "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those whose whole sets link; only the sets of their documents are moved, as sorted hashes."""
-    pairs = stored(pairs, "jaccard-pairs")
+    """(u, v), stored: of stored pairs (a, b) those whose whole sets link; only the sets of their documents are moved, as sorted hashes."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,7 +421,9 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array([linked(*(np.frombuffer(v.as_buffer(), np.uint64) for v in row)) for row in rows], pa.bool_()))
 
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("own").alias("own_a")), sets.select(F.col("doc_id").alias("b"), F.col("own").alias("own_b"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "own_a", "own_b").mapInArrow(check, "a long, b long")
+    links = stored(pairs.join(right, "b").join(left, "a").select("a", "b", "own_a", "own_b").mapInArrow(check, "a long, b long"), "jaccard-links")
+    dropped(pairs, sets)
+    return links.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def first_pairs(members: DataFrame) -> DataFrame:
@@ -447,15 +448,14 @@ def second_pairs(members: DataFrame, found: DataFrame, marks: DataFrame) -> Data
     families = still.groupBy("rep", "component", "hub").agg(F.count(F.lit(1)).alias("n")).groupBy("rep", "component").agg(largest("hub").alias("family"))
     families = stored(families, "jaccard-families")
 
-    within = met_in_families(stored(blocks(families.join(marks, "rep")), "jaccard-blocks"))
-
-    # Groups of two families or more: sets outside of the group's main family with all others.
+    # Groups of two families or more are compared as a family each.
     named = still.select("gid", "rep").join(families, "rep")
-    main = named.groupBy("gid", "family").agg(F.count(F.lit(1)).alias("n")).groupBy("gid").agg(largest("family").alias("main"), F.count(F.lit(1)).alias("met")).where("met > 1").select("gid", "main")
-    mixed = named.join(main, "gid")
-    p, q = mixed.where("family != main").alias("p"), mixed.alias("q")
-    across = p.join(q, F.expr("p.gid = q.gid AND p.family != q.family AND p.component != q.component")).select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b"))
-    return within.union(possible(across.distinct(), marks)).distinct()
+    mixed = named.groupBy("gid").agg(F.min("family").alias("low"), F.max("family").alias("high")).where("low < high").select("gid")
+    across = stored(named.join(mixed, "gid").select(F.col("gid").alias("family"), "rep", "component"), "jaccard-across")
+    by_block = [stored(blocks(rows.join(marks, "rep")), "jaccard-blocks") for rows in (families, across)]
+    found_pairs = stored(met_in_families(by_block[0]).union(met_in_families(by_block[1])).distinct(), "jaccard-second")
+    dropped(placed, still, families, across, *by_block)
+    return found_pairs
 
 
 def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -478,10 +478,11 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     in_groups = members.select(F.col("rep").alias("doc_id")).distinct()
     marks = stored(sets.join(in_groups, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "bits").distinct(), "jaccard-marks")
 
-    links = stored(verified(possible(first_pairs(members), marks), known), "jaccard-links").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    links = verified(stored(possible(first_pairs(members), marks), "jaccard-first"), known)
     found = stored(components(links), "jaccard-components")
-    more = stored(verified(second_pairs(members, found, marks), known), "jaccard-links").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    more = verified(second_pairs(members, found, marks), known)
     final = components(more.union(found.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+    dropped(members, marks)
 
     # Documents with one id are one node, whatever their sets.
     if named.groupBy("doc_id").count().where("count > 1").isEmpty():

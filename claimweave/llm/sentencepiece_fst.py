@@ -34,7 +34,7 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 KEPT_PREFIXES, KEPT_CHUNKS, LONG_CHUNK = 300_000, 800_000, 64
-#: Rows that a task normalises at a time.
+#: Rows that a task decodes at a time.
 _ROWS = 512
 
 
@@ -179,39 +179,41 @@ class Machine:
         return 0.0 if known else np.inf
 
     def path(self, chunk: str) -> list[int]:
-        """Ids of the shortest path through an escaped chunk."""
-        states = self.states if len(chunk) <= LONG_CHUNK else {}
-        if len(states) > KEPT_PREFIXES:
-            states.clear()
-        states[""] = (0.0, "")
-        prefixes = [chunk[:k] for k in range(len(chunk) + 1)]
+        """Ids of the shortest path through an escaped chunk; short chunks share the states of their prefixes."""
+        short = len(chunk) <= LONG_CHUNK
+        if len(self.states) > KEPT_PREFIXES:
+            self.states.clear()
         ids, lengths, pairs, merging = self.ids, self.lengths, self.pairs, self.kind == BPE
+        cost, pieces = [0.0], [""]
         for end in range(1, len(chunk) + 1):
-            if prefixes[end] in states:
-                continue
-            best = (np.inf, "")
-            for size in lengths.get(chunk[max(end - 2, 0) : end], (1,)):
-                if size > end:
-                    continue
-                piece = chunk[end - size : end]
-                if size > 1 and piece not in ids:
-                    continue
-                before, last = states[prefixes[end - size]]
-                known = pairs.get((last, piece)) if merging else None
-                weight = (0.0 if known else np.inf) if known is not None else before + self.weight(last, piece)
-                if weight < best[0]:
-                    best = (weight, piece)
-                    if merging:  # the only one
-                        break
-            states[prefixes[end]] = best
+            best = self.states.get(chunk[:end]) if short else None
+            if best is None:
+                best = (np.inf, "")
+                for size in lengths.get(chunk[max(end - 2, 0) : end], (1,)):
+                    if size > end:
+                        continue
+                    piece = chunk[end - size : end]
+                    if size > 1 and piece not in ids:
+                        continue
+                    last = pieces[end - size]
+                    known = pairs.get((last, piece)) if merging else None
+                    weight = (0.0 if known else np.inf) if known is not None else cost[end - size] + self.weight(last, piece)
+                    if weight < best[0]:
+                        best = (weight, piece)
+                        if merging:  # the only one
+                            break
+                if short:
+                    self.states[chunk[:end]] = best
+            cost.append(best[0])
+            pieces.append(best[1])
         out, at = [], len(chunk)
         while at:
-            piece = states[prefixes[at]][1]
+            piece = pieces[at]
             if piece in self.ids:
                 out.append(self.ids[piece])
             else:
-                ids = [self.byte_ids[b] for b in piece.encode("utf-8")]
-                out.extend(reversed(ids) if -1 not in ids else [self.unknown])
+                found = [self.byte_ids[b] for b in piece.encode("utf-8")]
+                out.extend(reversed(found) if -1 not in found else [self.unknown])
             at -= len(piece)
         return out[::-1]
 
@@ -238,8 +240,8 @@ def machine(path: str) -> tuple[Machine, ChunkCache]:
 def _encoded(batch: pa.RecordBatch, path: str) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     """Row ids and token ids of the rows (id, text) of a batch, some rows at a time."""
     made, cache = machine(path)
-    for first in range(0, batch.num_rows, _ROWS):
-        part = batch.slice(first, _ROWS)
+    for first, end in tb.slices(tb.text_buffer(batch.column(1))[1]):  # as many rows as a slice of bytes holds
+        part = batch.slice(first, end - first)
         texts = pa.array(map(made.normaliser, part.column(1).to_pylist()), pa.large_string())
         for lo, hi, data, offsets in tb.text_slices(texts):
             starts = chunk_starts(data, offsets)

@@ -55,7 +55,7 @@ class PrefixCounter:
         byte_of = {c: b for b, c in enumerate(byte_symbols())}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         raw = lambda token: bytes(byte_of[c] for c in token)
-        self.ids = {raw(t): i for t, i in model["vocab"].items() if t not in special}
+        self.ids: dict[bytes, int] = {raw(t): i for t, i in model["vocab"].items() if t not in special}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.rank = {(raw(a), raw(b)): k for k, (a, b) in enumerate(pairs)}
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
@@ -105,10 +105,14 @@ class PrefixCounter:
 
     def _long(self, word: bytes) -> list[int]:
         """The same for a long word, whose prefixes aren't worth keeping."""
-        states = [(b"", 0)]
+        longest = max(map(len, self.ids))
+        states: dict[int, tuple[bytes, int]] = {0: (b"", 0)}
+        counts = []
         for end in range(1, len(word) + 1):
-            states.append(self._step(word, end, states.__getitem__))
-        return [n for _, n in states[1:]]
+            states[end] = self._step(word, end, states.__getitem__)
+            states.pop(end - longest, None)
+            counts.append(states[end][1])
+        return counts
 
     def _step(self, word: bytes, end: int, state: Callable[[int], tuple[bytes, int]]) -> tuple[bytes, int]:
         ids = self.ids

@@ -16,8 +16,8 @@ import pyarrow as pa
 
 from . import textbatch as tb
 
-#: Chunks that a worker keeps; beyond it begins anew, so its memory stays bounded.
-KEPT_CHUNKS = 1_500_000
+#: Chunks and values that a worker keeps (some 100 MB); beyond it begins anew. What is met in one slice of texts comes on top.
+KEPT_CHUNKS, KEPT_VALUES = 1_000_000, 8_000_000
 #: Bytes of distinct chunks that the library gets as one string.
 JOINED_BYTES = 1 << 16
 
@@ -42,21 +42,33 @@ def closes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 class ChunkCache:
     """Values (runs of numbers) of distinct chunks, looked up by hash in sorted arrays."""
 
-    def __init__(self, evaluate: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], kept: int = KEPT_CHUNKS):
+    def __init__(self, evaluate: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], kept: int = KEPT_CHUNKS, kept_values: int = KEPT_VALUES):
         """``evaluate``: of joined chunks and their ends, all values and their number by chunk."""
-        self.evaluate, self.kept = evaluate, kept
+        self.evaluate, self.kept, self.kept_values = evaluate, kept, kept_values
         self.clear()
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.rows = np.zeros(0, np.int64)
         self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.int32)
+        self.held, self.used = np.zeros(1 << 16, np.int32), 0
+
+    @property
+    def flat(self) -> np.ndarray:
+        return self.held[: self.used]
+
+    def _add(self, flat: np.ndarray) -> None:
+        if self.used + len(flat) > len(self.held):
+            grown = np.zeros(max(2 * len(self.held), self.used + len(flat)), np.int32)
+            grown[: self.used] = self.flat
+            self.held = grown
+        self.held[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
 
     def rows_of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """For each chunk its row in ``starts``, ``lengths``."""
+        """For each chunk its row in ``starts``, ``lengths``; good until the next call."""
         unique, first, inverse = np.unique(tb.hash_spans(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.keys) + len(unique) > self.kept and len(self.keys):
+        if len(self.keys) and (len(self.keys) + len(unique) > self.kept or self.used > self.kept_values):
             self.clear()
         at = np.searchsorted(self.keys, unique)
         known = np.zeros(len(unique), bool)
@@ -67,9 +79,9 @@ class ChunkCache:
             sizes = ends[first[new]] - starts[first[new]]
             flat, lengths = self.evaluate(data[tb.ragged(starts[first[new]], sizes)], np.cumsum(sizes))
             rows = len(self.lengths) + np.arange(len(new))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+            self.starts = np.concatenate([self.starts, self.used + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
-            self.flat = np.concatenate([self.flat, flat])
+            self._add(flat)
             where = at[new]
             self.keys = np.insert(self.keys, where, unique[new])
             self.rows = np.insert(self.rows, where, rows)
