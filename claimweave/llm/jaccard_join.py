@@ -49,11 +49,11 @@ from .storage import dropped, stored
 
 #: A shingle is frequent in this share of documents, or in FREQUENT_LEAST if that is more; so many are listed at most.
 FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_MOST = 0.003, 24, 500_000
-#: Documents that a task counts shingles over at a time; it reports those in FREQUENT_HERE of them.
-COUNTED, FREQUENT_HERE = 1_000, 8
+#: Documents, or shingles if these are more than 500 a document, that a task counts over at a time; it reports shingles in FREQUENT_HERE of the documents.
+COUNTED, COUNTED_SHINGLES, FREQUENT_HERE = 1_000, 500_000, 8
 #: Parts of a partition, and how many more partitions there are than one common signature asks for.
 PARTS, SLACK = 3, 0.25
-BUCKET_ROWS, FLUSH_ROWS = 1_000_000, 1_000_000
+BUCKET_ROWS, FLUSH_ROWS = 500_000, 500_000
 #: A signature that more documents of a flush have than keep buckets to a few BUCKET_ROWS, and than this, goes to its bucket once.
 HOT_LEAST = 8
 #: Partners that each set is compared with first: under so many orders, the set that is smallest in most of its groups.
@@ -146,7 +146,7 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
-def apart(x: bytes, y: bytes) -> int:
+def apart(x: bytes | pa.Buffer, y: bytes | pa.Buffer) -> int:
     """At most the distance of two sets, by their parities; the longer is folded to the shorter's length."""
     a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
     words = min(len(a), len(b))
@@ -159,6 +159,7 @@ def measured(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held: list[np.ndarray] = []
+        n_held = 0
 
         def frequent() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -180,10 +181,12 @@ def measured(docs: DataFrame) -> DataFrame:
                     if k not in seen:
                         seen.add(k)
                         held.append(s)
-                if len(held) >= COUNTED:
+                        n_held += len(s)
+                if len(held) >= COUNTED or n_held >= COUNTED_SHINGLES and len(held) >= FREQUENT_HERE:
                     yield frequent()
                     held.clear()
                     seen.clear()
+                    n_held = 0
         if len(held) >= FREQUENT_HERE:
             yield frequent()
 
@@ -319,8 +322,8 @@ def possible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(k).to_pylist() for k in range(2, 6)))
-            yield batch.select([0, 1]).filter(pa.array([7 * apart(x, y) <= n + m for n, x, m, y in rows], pa.bool_()))
+            rows = zip(*(batch.column(k) for k in range(2, 6)))
+            yield batch.select([0, 1]).filter(pa.array([7 * apart(x.as_buffer(), y.as_buffer()) <= n.as_py() + m.as_py() for n, x, m, y in rows], pa.bool_()))
 
     left, right = (marks.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in ("a", "b"))
     near = pairs.join(right, "b").join(left, "a").where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
@@ -343,7 +346,7 @@ def blocks(rows: DataFrame) -> DataFrame:
             return pa.record_batch([*(pa.array(c, pa.int64()) for c in columns), *(pa.array([b], pa.binary()) for b in blobs)], names=names)
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
+            for row in (r for at in range(0, batch.num_rows, 512) for r in zip(*(c.to_pylist() for c in batch.slice(at, 512).columns))):
                 if held and (row[0] != held[0][0] or len(held) == BLOCK_SETS or size + len(row[4]) > BLOCK_BYTES):
                     yield packed()
                     held, size = [], 0
@@ -361,7 +364,7 @@ def met_in_families(packed: DataFrame) -> DataFrame:
     """Pairs (a, b) of a family in different components that sizes and sketches don't tell apart."""
     blobs = ["reps", "parts", "sizes", "lengths", "marks"]
 
-    def opened(row: tuple) -> list[tuple]:
+    def opened(row: list[pa.Buffer]) -> list[tuple]:
         """(reps, components, sizes, parities) by length of the parities."""
         reps, parts, sizes, lengths = (np.frombuffer(v, np.int64) for v in row[:4])
         marks, starts, out = np.frombuffer(row[4], np.uint8), np.cumsum(lengths) - lengths, []
@@ -373,7 +376,8 @@ def met_in_families(packed: DataFrame) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
+            for k in range(batch.num_rows):
+                row = [c[k].as_buffer() for c in batch.columns]
                 left, right = opened(row[:5]), opened(row[5:])
                 found: list[np.ndarray] = []
                 for reps_a, parts_a, n_a, bits_a in left:

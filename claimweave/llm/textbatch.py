@@ -47,16 +47,17 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and document offsets (n + 1) of a string array."""
+    """Bytes and document offsets (n + 1) of a string array, without copying where none is null."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string())
+    if texts.type not in (pa.string(), pa.large_string()):
+        texts = texts.cast(pa.large_string())
     if texts.null_count:
         texts = texts.fill_null("")
     if not len(texts):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = texts.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    offsets = np.frombuffer(offsets, np.int32 if texts.type == pa.string() else np.int64)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 

@@ -32,6 +32,8 @@ from .quality import labelled
 TRAINING_ROWS = 5_000
 BITS = 18
 SIZES = (4, 5, 6)
+#: Features of texts that a step of fitting takes at a time.
+_AT_ONCE = 500_000
 _LATIN = np.arange(0x250, dtype=np.uint32)
 _LATIN[[*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)]] += 32
 _LATIN[[c for c in range(128) if not chr(c).isalnum()]] = 32
@@ -102,10 +104,15 @@ def fit_linear(indices: list[np.ndarray], y: np.ndarray, smoothing: float = 1.0,
     columns = np.concatenate(chosen)
     r = ratio[used]
     n, d = len(y), int(used.sum())
-    values = r[columns]
+    runs = [slice(at, at + _AT_ONCE) for at in range(0, len(rows), _AT_ONCE)]
+
+    def forward(w: np.ndarray) -> np.ndarray:
+        scaled = w * r
+        return sum((np.bincount(rows[c], scaled[columns[c]], n) for c in runs), np.zeros(n))
+
+    def backward(e: np.ndarray) -> np.ndarray:
+        return r * sum((np.bincount(columns[c], e[rows[c]], d) for c in runs), np.zeros(d))
 
-    forward = lambda w: np.bincount(rows, values * w[columns], n)
-    backward = lambda e: np.bincount(columns, values * e[rows], d)
     w, b = np.zeros(d), float(np.log(y.mean() / (1 - y.mean())))
     for _ in range(6):
         p = 1 / (1 + np.exp(-np.clip(forward(w) + b, -500, 500)))
@@ -130,7 +137,7 @@ def fit_linear(indices: list[np.ndarray], y: np.ndarray, smoothing: float = 1.0,
     folded[np.abs(folded) < negligible] = 0
     weights = np.zeros(size)
     weights[used] = folded
-    margin = np.bincount(rows, folded[columns], n)
+    margin = forward(folded / np.where(r == 0, 1, r))
     for _ in range(25):  # the intercept that fits the weights that stayed
         p = 1 / (1 + np.exp(-np.clip(margin + b, -500, 500)))
         b -= (p - y).sum() / max((p * (1 - p)).sum(), 1e-6)
