@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.keys import canonical_predicates, normalize_entities
+from .functions.keys import canonical_predicates, folded, normalize_entities
 from .functions.numbers import normalize_values
 from .functions.periods import parse_period
 from .operators import classify as decide
 from .operators import evidence, pages, pairs, store
-from .sources.seams import Provider, split_candidates
+from .sources.seams import Provider, split_candidates, tie_break
+
+TABLES = ("documents", "pages", "facts", "relationships")
 
 
 @dataclass(frozen=True)
@@ -32,15 +34,17 @@ class Settings:
 
 def normalize_facts(facts: DataFrame, settings: Settings = Settings(), entity_aliases: DataFrame | None = None, predicate_aliases: DataFrame | None = None) -> DataFrame:
     """Facts (subject, predicate, value, unit, currency, temporal_scope, scope, data_vintage) in normal form."""
-    out = normalize_values(canonical_predicates(normalize_entities(facts, "subject", entity_aliases), "predicate", predicate_aliases))
-    for name, source in (("period", "temporal_scope"), ("vintage", "data_vintage")):
-        out = out.withColumn(name, parse_period(F.col(source), settings.fiscal_start_month)).withColumn(f"{name}_text", F.col(source))
-    return out
+    named = canonical_predicates(normalize_entities(facts, "subject", entity_aliases), "predicate", predicate_aliases)
+    texts = {"_value": "value", "_unit": "unit", "_currency": "currency", "period_text": "temporal_scope", "vintage_text": "data_vintage", "scope_text": "scope"}
+    out = normalize_values(named.withColumns({k: folded(F.col(c)) for k, c in texts.items()}), "_value", "_unit", "_currency")
+    for name in ("period", "vintage"):
+        out = out.withColumn(name, parse_period(F.col(f"{name}_text"), settings.fiscal_start_month))
+    return out.drop("_value", "_unit", "_currency")
 
 
 @dataclass(frozen=True)
 class Ledger:
-    """Documents, pages, facts and relationships; each step returns DataFrames and writes nothing."""
+    """Documents, pages, facts and relationships. Each step returns DataFrames; ``write`` stores and ``read`` opens them."""
 
     documents: DataFrame
     pages: DataFrame
@@ -50,9 +54,21 @@ class Ledger:
 
     @staticmethod
     def ingest(files: DataFrame, separator: str = "\f", settings: Settings = Settings()) -> Ledger:
-        """From (document_id, text): the first document of each content, and its pages."""
+        """From (document_id, text): the first document of each content, queued with its counters at 0, and its pages."""
         first = pages.first_by_hash(files, "document_id").where("NOT duplicate_reused")
-        return Ledger(first.select("document_id", "sha256"), pages.to_pages(first, separator), settings=settings)
+        counters = ("processed_page_count", "extraction_batch_count", "provider_attempt_count", "retry_count")
+        queued = first.select("document_id", "sha256", F.lit("queued").alias("status"), *(F.lit(0).alias(c) for c in counters), *(F.lit(None).cast("string").alias(c) for c in ("failure_reason", "checkpoint_model", "checkpoint_prompt_version")))
+        return Ledger(queued, pages.to_pages(first, separator), settings=settings)
+
+    @staticmethod
+    def read(spark: SparkSession, folder: str, settings: Settings = Settings()) -> Ledger:
+        return Ledger(*(spark.read.parquet(f"{folder}/{name}") for name in TABLES), settings=settings)
+
+    def write(self, folder: str, mode: str = "append") -> None:
+        """Adds the tables to those in a folder: rows of one step, so a batch of documents is written once."""
+        for name in TABLES:
+            if (rows := getattr(self, name)) is not None:
+                rows.write.mode(mode).parquet(f"{folder}/{name}")
 
     def batches(self) -> DataFrame:
         return pages.page_batches(self.pages, self.settings.batch_chars, self.settings.batch_pages)
@@ -68,9 +84,17 @@ class Ledger:
         facts = facts.withColumn("fact_id", F.sha2(F.concat_ws("", "document_id", F.col("page").cast("string"), "subject", "predicate", "value", "quote"), 256))
         return Ledger(self.documents, self.pages, normalize_facts(facts, self.settings, **aliases), settings=self.settings)
 
-    def compare(self, cross_document_only: bool = True, tie_breaks: DataFrame | None = None) -> Ledger:
+    def ambiguous(self) -> DataFrame:
+        """The pairs whose names are alike but not the same, that a tie-break may be asked about."""
+        s = self.settings
+        return pairs.ambiguous_pairs(self.facts.where("eligible"), s.ambiguous_low, s.ambiguous_high, s.ambiguous_pairs)
+
+    def compare(self, cross_document_only: bool = True, tie_breaks: DataFrame | None = None, resolver: Provider | None = None) -> Ledger:
+        """Relationships of all pairs of a block, and of the ambiguous pairs that decisions, or a resolver asked here, call one entity."""
         known = self.facts.where("eligible")
         found = pairs.block_pairs(known, cross_document_only)
+        if resolver is not None:
+            tie_breaks = tie_break(self.ambiguous(), resolver)
         if tie_breaks is not None:
             found = found.unionByName(pairs.resolved_pairs(known, tie_breaks), allowMissingColumns=True)
         decided = decide.classify(found).withColumn("confidence", decide.classification_confidence(F.col("trace")))
@@ -84,3 +108,27 @@ class Ledger:
     def decisions(self, classification: str | None = None, document_id=None, offset: int = 0, limit: int = 100) -> DataFrame:
         mine = None if document_id is None else self.facts.where(F.col("document_id") == document_id)
         return store.with_facts(store.relationship_page(self.relationships, classification, mine, offset, limit), self.facts)
+
+    def document_status(self, document_id) -> DataFrame:
+        """State and counters of a document, with its number of pages and its step in the order of states."""
+        mine = self.documents.where(F.col("document_id") == document_id)
+        n_pages = self.pages.where(F.col("document_id") == document_id).agg(F.count(F.lit(1))).scalar()
+        return mine.withColumns({"page_count": n_pages, "step": store.step_index(F.col("status"))})
+
+    def export(self) -> tuple[DataFrame, DataFrame]:
+        """Verified facts, and the relationships between them."""
+        return store.export_evaluation(self.facts, self.relationships)
+
+    def delete(self, gone: DataFrame) -> Ledger:
+        """The ledger without some documents, their pages and facts, and the relationships these have."""
+        kept = self.documents.join(gone.select("document_id").distinct(), "document_id", "left_anti")
+        return Ledger(kept, *store.delete_documents(gone, self.pages, self.facts, self.relationships), self.settings)
+
+    def retry(self, model: str, prompt_version: str) -> Ledger:
+        """Failed documents queued again. Relationships of their facts go; pages and facts go where no checkpoint fits."""
+        again = store.prepare_retries(self.documents, self.pages, model, prompt_version)
+        rest = self.documents.join(again.select("document_id"), "document_id", "left_anti")
+        touched = self.facts.join(again.select("document_id"), "document_id", "left_semi")
+        anew = again.where("NOT resumes").select("document_id")
+        kept = [t.join(anew, "document_id", "left_anti") for t in (self.pages, self.facts)]
+        return Ledger(rest.unionByName(again.drop("resumes")), *kept, store.without_facts(self.relationships, touched), self.settings)

@@ -43,6 +43,16 @@ CURRENCIES = {
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 MONTH_NAMES = "january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|oct|nov|dec"
 
+# Words that tell what the dates of a reporting period mean, and counts of months in words.
+RANGE_WORDS = ["to", "through", "until"]
+POINT_WORDS = ["as of", "as at", "on"]
+MONTH_COUNTS = {"three": 3, "six": 6, "nine": 9, "twelve": 12}
+FISCAL_WORDS = ["fy", "fiscal", "financial"]
+COUNT_NAMES = {3: "quarter", 12: "year"}
+
+# Suffixes of days.
+DAY_SUFFIXES = ["st", "nd", "rd", "th"]
+
 # Predicates that need a cue of founding in their quote, and the cue.
 FOUNDING_PREDICATES = ["date of incorporation", "incorporation date", "incorporated on"]
 FOUNDING_CUE = r"\b(?:incorporat(?:e|ed|es|ing|ion)|found(?:ed|ing)|establish(?:ed|ment)|formed)\b"

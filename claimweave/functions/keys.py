@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import pandas as pd
@@ -20,22 +19,19 @@ def words(text: Column) -> Column:
 
 
 def comparison_key(text: Column) -> Column:
-    """Lower-cased words joined by a space, ``&`` read as "and". Native; see ``with_exact_key`` for text
-    that needs compatibility folding."""
+    """Lower-cased words joined by a space, ``&`` read as "and". Text beyond ASCII goes through ``folded`` first."""
     return F.array_join(words(F.replace(text, F.lit("&"), F.lit(" and "))), " ")
 
 
 @F.pandas_udf(StringType())
-def _folded_key(texts: pd.Series) -> pd.Series:
-    fold = lambda t: " ".join(re.findall(r"[^\W_]+", unicodedata.normalize("NFKC", t).casefold().replace("&", " and ")))
-    return texts.map(fold, na_action="ignore")
+def _compatible(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFKC", t).casefold(), na_action="ignore")
 
 
-def with_exact_key(df: DataFrame, column: str, key: str) -> DataFrame:
-    """``key`` by compatibility folding: plain ASCII rows stay native, only the others meet the Arrow function."""
-    ascii_only = F.coalesce(~F.col(column).rlike(r"[^\x00-\x7F]"), F.lit(True))
-    native = df.where(ascii_only).withColumn(key, comparison_key(F.col(column)))
-    return native.unionByName(df.where(~ascii_only).withColumn(key, _folded_key(F.col(column))))
+def folded(text: Column) -> Column:
+    """Text whose compatibility forms and cases are one: ligatures, full width, sharp s. ASCII text stays as it is,
+    natively, and goes through the Arrow function as null. Marked as not deterministic, it isn't copied into later expressions."""
+    return F.coalesce(_compatible.asNondeterministic()(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def scope_key(text: Column) -> Column:
@@ -69,13 +65,14 @@ def stripped_name(key: Column, drop_article: bool = True) -> tuple[Column, Colum
 def normalize_entities(df: DataFrame, name: str, aliases: DataFrame | None = None) -> DataFrame:
     """Adds entity_key, alias_applied and removed_suffixes. ``aliases`` (alias, canonical): the full key is
     looked up first, then the stripped one; the target's legal forms go too, its article stays."""
-    key = comparison_key(F.col(name))
-    stripped, forms = stripped_name(key)
-    out = df.withColumn("_full", key).withColumn("_stripped", stripped).withColumn("removed_suffixes", forms)
+    out = df.withColumn("_full", comparison_key(folded(F.col(name))))
+    stripped, forms = stripped_name(F.col("_full"))
+    out = out.withColumn("_stripped", stripped).withColumn("removed_suffixes", forms)
     if aliases is None:
         return out.withColumn("entity_key", F.col("_stripped")).withColumn("alias_applied", F.lit(False)).drop("_full", "_stripped")
-    target, _ = stripped_name(comparison_key(F.col("canonical")), drop_article=False)
-    table = aliases.select(comparison_key(F.col("alias")).alias("_alias"), target.alias("_target")).groupBy("_alias").agg(F.max("_target").alias("_target"))
+    named = aliases.select(*(comparison_key(folded(F.col(c))).alias(c) for c in ("alias", "canonical")))
+    target, _ = stripped_name(F.col("canonical"), drop_article=False)
+    table = named.select(F.col("alias").alias("_alias"), target.alias("_target")).groupBy("_alias").agg(F.max("_target").alias("_target"))
     full, short = table.toDF("_full", "_by_full"), table.toDF("_stripped", "_by_short")
     out = out.join(full, "_full", "left").join(short, "_stripped", "left")
     hit = F.coalesce("_by_full", "_by_short")
@@ -84,8 +81,9 @@ def normalize_entities(df: DataFrame, name: str, aliases: DataFrame | None = Non
 
 def canonical_predicates(df: DataFrame, predicate: str, aliases: DataFrame | None = None) -> DataFrame:
     """Adds predicate_key: the key, or what an alias of it stands for."""
-    out = df.withColumn("predicate_key", comparison_key(F.col(predicate)))
+    out = df.withColumn("predicate_key", comparison_key(folded(F.col(predicate))))
     if aliases is None:
         return out
-    table = aliases.groupBy(comparison_key(F.col("alias")).alias("predicate_key")).agg(F.max(comparison_key(F.col("canonical"))).alias("_target"))
+    named = aliases.select(*(comparison_key(folded(F.col(c))).alias(c) for c in ("alias", "canonical")))
+    table = named.groupBy(F.col("alias").alias("predicate_key")).agg(F.max("canonical").alias("_target"))
     return out.join(table, "predicate_key", "left").withColumn("predicate_key", F.coalesce("_target", "predicate_key")).drop("_target")

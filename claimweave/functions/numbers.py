@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .binding import let
 from .fixed_values import CURRENCIES, SCALES, UNITS
 from .keys import comparison_key
 from .periods import full_date
@@ -45,8 +46,11 @@ def quantum(value: Column) -> Column:
 
 
 def scale_word(value: Column, unit: Column) -> Column:
+    """The longest scale word that stands in the unit's or the value's text, or null."""
     text = F.lower(F.concat(F.coalesce(unit, F.lit("")), F.lit(" "), value))
-    return _first([(text.rlike(f"{_BEFORE}{s}s?{_AFTER}"), F.lit(s)) for s in _longest_first(SCALES)])
+    ordered = _longest_first(SCALES)
+    found = F.regexp_extract_all(text, F.lit(f"{_BEFORE}({'|'.join(ordered)})s?{_AFTER}"), F.lit(1))
+    return let({"found": found}, lambda t: F.try_element_at(F.filter(F.array(*map(F.lit, ordered)), lambda w: F.array_contains(t["found"], w)), F.lit(1)))
 
 
 def scale_factor(scale: Column) -> Column:
@@ -68,13 +72,16 @@ def _known_unit(text: Column) -> Column:
 
 def find_unit(value: Column, unit: Column, scale: Column) -> Column:
     """alias, unit, dimension and factor: known in the unit's text, else in the value's, else the unit's own words."""
-    custom = unit_text(unit)
-    # Whole words, once more because removed neighbours share a space.
-    without_scale = F.when(scale.isNull(), custom).otherwise(F.trim(F.regexp_replace(custom, F.concat(F.lit(_BEFORE), scale, F.lit(f"s?{_AFTER}")), F.lit(""))))
     names = "|".join(c for c in CURRENCIES if c.isalpha())
-    left = F.array_join(F.filter(F.split(F.regexp_replace(without_scale, rf"(?i)\b(?:{names})\b", ""), r"\s+"), lambda w: w != ""), " ")
-    own = F.when(left != "", F.struct(left.alias("alias"), left.alias("unit"), F.lit("custom").alias("dimension"), F.lit(1).cast(FACTOR).alias("factor")))
-    return F.coalesce(_known_unit(unit_text(unit)), _known_unit(unit_text(value)), own)
+
+    def chosen(t: Column) -> Column:
+        # Whole words, once more because removed neighbours share a space.
+        without_scale = F.when(t["scale"].isNull(), t["own"]).otherwise(F.trim(F.regexp_replace(t["own"], F.concat(F.lit(_BEFORE), t["scale"], F.lit(f"s?{_AFTER}")), F.lit(""))))
+        left = F.array_join(F.filter(F.split(F.regexp_replace(without_scale, rf"(?i)\b(?:{names})\b", ""), r"\s+"), lambda w: w != ""), " ")
+        own = let({"left": left}, lambda x: F.when(x["left"] != "", F.struct(x["left"].alias("alias"), x["left"].alias("unit"), F.lit("custom").alias("dimension"), F.lit(1).cast(FACTOR).alias("factor"))))
+        return F.coalesce(_known_unit(t["own"]), _known_unit(unit_text(t["value"])), own)
+
+    return let({"value": value, "own": unit_text(unit), "scale": scale}, chosen)
 
 
 def currency_code(currency: Column, value: Column) -> Column:
@@ -88,6 +95,38 @@ def currency_code(currency: Column, value: Column) -> Column:
     return F.coalesce(given, _first(seen))
 
 
+def _form(s: Column) -> Column:
+    """The normal form of a struct of value, unit and currency, each step bound once."""
+    first = {
+        "value": s["value"], "unit": s["unit"], "currency": currency_code(s["currency"], s["value"]), "scale": scale_word(s["value"], s["unit"]),
+        "date": full_date(s["value"]), "literal": literal(s["value"]), "key": comparison_key(s["value"]),
+    }
+    return let(first, lambda t: let({"said": t, "found": find_unit(t["value"], t["unit"], t["scale"])}, _typed))
+
+
+def _typed(s: Column) -> Column:
+    said, found = s["said"], s["found"]
+    untyped = said["currency"].isNull() & found["unit"].isNull() & said["value"].rlike("[A-Za-z]") & said["value"].rlike(r"\d")
+    is_text = said["date"].isNotNull() | untyped | said["literal"].isNull()
+    text = F.coalesce(said["date"].cast("string"), F.when(said["key"] != "", said["key"]), F.lower(said["value"]))
+    kept = {"text_value": F.when(is_text, text), "canonical_unit": found["unit"], "dimension": found["dimension"], "canonical_currency": said["currency"]}
+    factors = {"scale_by": F.when(~is_text, scale_factor(said["scale"])), "unit_by": F.when(~is_text, F.coalesce(found["factor"], F.lit(1).cast(FACTOR)))}
+    return let({"said": said, "kind": F.when(is_text, "text").otherwise("numeric"), **kept, **factors}, _measured)
+
+
+def _measured(s: Column) -> Column:
+    value, numeric = s["said"]["value"], s["kind"] == "numeric"
+
+    def scaled(t: Column, x: Column) -> Column:
+        # A scale alone has no decimal places, so it may be larger.
+        return F.coalesce((x * t["factor"]).cast(EXACT), F.when(s["unit_by"] == 1, (x * s["scale_by"]).cast(EXACT)))
+
+    fits = F.length(F.split_part(s["said"]["literal"], F.lit("."), F.lit(2))) <= 6
+    values = {"factor": (s["scale_by"] * s["unit_by"]).try_cast(FACTOR), "number": F.when(numeric & fits, parsed_number(value)), "step": F.when(numeric, quantum(value))}
+    names = ["kind", "text_value", "canonical_unit", "dimension", "canonical_currency", "scale_by", "unit_by"]
+    return let(values, lambda t: F.struct(*(s[k].alias(k) for k in names), scaled(t, t["number"]).alias("number"), scaled(t, t["step"]).alias("step")))
+
+
 def normalize_values(df: DataFrame, value: str = "value", unit: str = "unit", currency: str = "currency") -> DataFrame:
     """Adds kind, number, text_value, canonical_unit, dimension, canonical_currency, scale_by, unit_by and step.
 
@@ -95,23 +134,9 @@ def normalize_values(df: DataFrame, value: str = "value", unit: str = "unit", cu
     before or 6 after its point, or a factor of 10^12 and more of a unit's factor other than 1, has kind
     "numeric" and a null number: such rows go through ``exact_numbers`` and ``compare_exactly``.
     """
-    v, u, c = F.col(value), F.col(unit), F.col(currency)
-    out = df.withColumn("canonical_currency", currency_code(c, v)).withColumn("_scale", scale_word(v, u))
-    out = out.withColumn("_unit", find_unit(v, u, F.col("_scale"))).withColumn("_date", full_date(v)).withColumn("_literal", literal(v))
-    untyped = F.col("canonical_currency").isNull() & F.col("_unit.unit").isNull() & v.rlike("[A-Za-z]") & v.rlike(r"\d")
-    is_text = F.col("_date").isNotNull() | untyped | F.col("_literal").isNull()
-    out = out.withColumn("kind", F.when(is_text, "text").otherwise("numeric"))
-    numeric = F.col("kind") == "numeric"
-    key = comparison_key(v)
-    out = out.withColumn("text_value", F.when(~numeric, F.coalesce(F.col("_date").cast("string"), F.when(key != "", key), F.lower(v))))
-    out = out.withColumn("canonical_unit", F.col("_unit.unit")).withColumn("dimension", F.col("_unit.dimension"))
-    out = out.withColumn("scale_by", F.when(numeric, scale_factor(F.col("_scale")))).withColumn("unit_by", F.when(numeric, F.coalesce("_unit.factor", F.lit(1).cast(FACTOR))))
-    factor = (F.col("scale_by") * F.col("unit_by")).try_cast(FACTOR)
-    # A scale alone has no decimal places, so it may be larger.
-    scaled = lambda c: F.coalesce((c * factor).cast(EXACT), F.when(F.col("unit_by") == 1, (c * F.col("scale_by")).cast(EXACT)))
-    fits = F.length(F.split_part("_literal", F.lit("."), F.lit(2))) <= 6
-    out = out.withColumn("number", F.when(numeric & fits, scaled(parsed_number(v))))
-    return out.withColumn("step", F.when(numeric, scaled(quantum(v)))).drop("_scale", "_unit", "_date", "_literal")
+    out = df.withColumn("_form", let({"value": F.col(value), "unit": F.col(unit), "currency": F.col(currency)}, _form))
+    names = ["canonical_currency", "kind", "text_value", "canonical_unit", "dimension", "scale_by", "unit_by", "number", "step"]
+    return out.withColumns({k: F.col(f"_form.{k}") for k in names}).drop("_form")
 
 
 def _signed_literal(value: Column) -> Column:
@@ -156,19 +181,20 @@ def compare_exactly(left: Column, right: Column) -> Column:
 
 def exact_numbers(df: DataFrame, value: str = "value") -> DataFrame:
     """Rows of ``normalize_values`` with ``number_text``: exact digits of every number, by decimal
-    arithmetic in Arrow batches only for the rows whose native number is null."""
+    arithmetic in Arrow batches where the native number is null; other rows go through as nulls."""
     @F.pandas_udf("string")
     def by_hand(literals: pd.Series, scales: pd.Series, units: pd.Series) -> pd.Series:
         from decimal import Decimal, localcontext
 
         with localcontext() as c:
             c.prec = 60
-            return pd.Series([format((Decimal(x) * Decimal(s) * Decimal(u)).normalize(), "f") for x, s, u in zip(literals, scales, units)])
+            return pd.Series([None if x is None else format((Decimal(x) * Decimal(s) * Decimal(u)).normalize(), "f") for x, s, u in zip(literals, scales, units)], dtype="object")
 
     over = (F.col("kind") == "numeric") & F.col("number").isNull()
-    hard = df.where(over).withColumn("number_text", by_hand(_signed_literal(F.col(value)), F.col("scale_by").cast("string"), F.col("unit_by").cast("string")))
+    asked = [F.when(over, x) for x in (_signed_literal(F.col(value)), F.col("scale_by").cast("string"), F.col("unit_by").cast("string"))]
     plain = F.regexp_replace(F.regexp_replace(F.col("number").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return df.where(~over).withColumn("number_text", plain).unionByName(hard)
+    # Marked as not deterministic, it is computed here once, not copied into the keys of joins above.
+    return df.withColumn("_hard", by_hand.asNondeterministic()(*asked)).withColumn("number_text", F.coalesce("_hard", plain)).drop("_hard")
 
 
 def convert_currency(df: DataFrame, rates: DataFrame, target: str, as_of: str | None = None) -> DataFrame:

@@ -62,7 +62,7 @@ def classify(pairs: DataFrame) -> DataFrame:
     d = d.withColumn("_unit", F.coalesce(spelled, F.lit(False))).withColumn("_currency", F.coalesce(minted, F.lit(False)))
     rounded = numeric & (_b("kind") == "numeric") & comparable & F.coalesce("_exact.rounded", (_a("step") != _b("step")) & (2 * F.abs(_a("number") - _b("number")) < _a("step") + _b("step")))
     d = d.withColumn("_rounded", F.coalesce(rounded, F.lit(False))).withColumn("_time", compare_periods("period")).withColumn("_vintage", compare_periods("vintage"))
-    sa, sb = scope_key(_a("scope")), scope_key(_b("scope"))
+    sa, sb = (scope_key(x("scope_text" if f"{p}_scope_text" in pairs.columns else "scope")) for p, x in (("a", _a), ("b", _b)))
     d = d.withColumn("_scopes", F.when(sa.isNull() & sb.isNull(), "same").when(sa.isNull() | sb.isNull(), "unknown").when(sa == sb, "same").otherwise("different"))
     gap = (
         F.when(_a("kind") != _b("kind"), "value kinds differ")

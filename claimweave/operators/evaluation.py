@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimweave.functions.fixed_values import CLASSES
-from claimweave.functions.keys import canonical_predicates, clean, normalize_entities
+from claimweave.functions.keys import canonical_predicates, clean, folded, normalize_entities
 from claimweave.functions.numbers import exact_numbers, normalize_values
 from claimweave.functions.periods import parse_period
 
@@ -15,11 +15,12 @@ SIGNATURE = ["sig_document", "sig_page", "sig_entity", "sig_predicate", "sig_val
 
 def with_signature(facts: DataFrame) -> DataFrame:
     """Adds the six parts that two facts must share: document, page, entity, predicate, value and period."""
-    f = exact_numbers(normalize_values(canonical_predicates(normalize_entities(facts, "subject"), "predicate")))
-    period = parse_period(F.col("temporal_scope"))
+    f = canonical_predicates(normalize_entities(facts, "subject"), "predicate").withColumns({"_value": folded(F.col("value")), "_scope": folded(F.col("temporal_scope")), "_document": folded(F.col("document_key"))})
+    f = exact_numbers(normalize_values(f, "_value"), "_value").withColumn("_period", parse_period(F.col("_scope")))
+    period = F.col("_period")
     value = F.when(F.col("kind") == "numeric", F.concat_ws("|", F.lit("numeric"), "number_text", F.coalesce("canonical_unit", F.lit("-")), F.coalesce("canonical_currency", F.lit("-")))).otherwise(F.concat(F.lit("text|"), F.col("text_value")))
-    span = F.when(period["parsed"], F.concat_ws("..", period["start"].cast("string"), period["end"].cast("string"))).otherwise(clean(F.col("temporal_scope")))
-    return f.withColumns({"sig_document": clean(F.col("document_key")), "sig_page": F.col("page"), "sig_entity": F.col("entity_key"), "sig_predicate": F.col("predicate_key"), "sig_value": value, "sig_period": span}).select(*facts.columns, *SIGNATURE)
+    span = F.when(period["parsed"], F.concat_ws("..", period["start"].cast("string"), period["end"].cast("string"))).otherwise(clean(F.col("_scope")))
+    return f.withColumns({"sig_document": clean(F.col("_document")), "sig_page": F.col("page"), "sig_entity": F.col("entity_key"), "sig_predicate": F.col("predicate_key"), "sig_value": value, "sig_period": span}).select(*facts.columns, *SIGNATURE)
 
 
 def in_scope(predictions: DataFrame, scope: DataFrame) -> DataFrame:
@@ -81,3 +82,21 @@ def label_problems(facts: DataFrame, relationships: DataFrame) -> DataFrame:
     repeated = facts.groupBy("id").count().where("count > 1").select("id", F.lit("duplicate fact id").alias("problem"))
     ends = relationships.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     return repeated.union(ends.join(facts.select("id").distinct(), "id", "left_anti").select("id", F.lit("unknown fact id")))
+
+
+def evaluate(scope: DataFrame, facts: DataFrame, relationships: DataFrame, predicted: DataFrame, predicted_relationships: DataFrame) -> dict[str, DataFrame]:
+    """facts (counts and ratios), relationships (accuracy) and confusion of predictions against labels."""
+    expected, scoped = with_signature(facts), in_scope(with_signature(predicted), scope)
+    matches = bag_match(expected, scoped)
+    labels = relationship_labels(relationships, predicted_relationships, matches.select("expected_id", "predicted_id"))
+    return {"facts": precision_recall(expected, scoped, matches), "relationships": accuracy(labels), "confusion": confusion(labels)}
+
+
+def results(found: dict[str, DataFrame]) -> DataFrame:
+    """``evaluate``'s measures in one row."""
+    as_one = lambda df: df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias("x"))  # noqa: E731  a few rows each
+    return found["facts"].withColumns({name: as_one(found[name]).scalar() for name in ("relationships", "confusion")})
+
+
+def write_results(found: dict[str, DataFrame], path: str) -> None:
+    results(found).coalesce(1).write.mode("overwrite").json(path)

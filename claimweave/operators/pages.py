@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimweave.functions.binding import let
+
 ROMAN_OR_DIGITS = r"(?i)\A(?:page\s+)?([0-9]{1,4}|[ivxlcdm]{1,12})(?:\s*(?:/|of)\s*[0-9]{1,4})?\z"
 
 
@@ -13,33 +15,38 @@ def hashed(documents: DataFrame, content: str = "text") -> DataFrame:
 
 
 def first_by_hash(documents: DataFrame, order: str, content: str = "text") -> DataFrame:
-    """Every document with ``first_id``, the earliest of equal content, and whether it reuses that one."""
+    """Every document with ``first_id``, the earliest of equal content, and whether it reuses that one.
+
+    Ids and hashes alone are grouped and joined back; documents without content are each their own first."""
     hashes = hashed(documents, content)
-    first = hashes.groupBy("sha256").agg(F.min(order).alias("first_id"))
-    return hashes.join(first, "sha256").withColumn("duplicate_reused", F.col(order) != F.col("first_id"))
+    first = hashes.where("sha256 IS NOT NULL").groupBy("sha256").agg(F.min(order).alias("first_id"))
+    found = hashes.join(first, "sha256", "left").withColumn("first_id", F.coalesce("first_id", order))
+    return found.withColumn("duplicate_reused", F.col(order) != F.col("first_id"))
+
+
+def running_starts(lengths: Column, block: int = 256) -> Column:
+    """The sum of the lengths before each: sums of whole blocks, then those within a block, so long arrays stay cheap."""
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda acc, x: acc + x)
+    part = lambda k, n: F.slice(lengths, k * block + 1, n)
+    sums = F.transform(F.sequence(F.lit(0), (F.size(lengths) / block).cast("int")), lambda k: total(part(k, F.lit(block))))
+    firsts = F.aggregate(sums, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    return let({"firsts": firsts}, lambda b: F.transform(lengths, lambda _, i: F.get(b["firsts"], (i / block).cast("int")) + total(part((i / block).cast("int"), i % block))))
 
 
 def to_pages(documents: DataFrame, separator: str = "\f", document: str = "document_id", text: str = "text") -> DataFrame:
-    """A row for each page, numbered from 1, with offsets that run on across one separator a page."""
+    """A row for each page, numbered from 1, with offsets that run on across one separator a page; no shuffle."""
     pieces = F.split(F.col(text), F.lit("\\Q" + separator + "\\E"))
-    starts = F.aggregate(
-        pieces,
-        F.array(F.lit(0)),
-        lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p) + 1)),
-    )
-    rows = documents.select(F.col(document).alias("document_id"), F.posexplode(F.arrays_zip(pieces.alias("text"), starts.alias("start"))).alias("at", "page"))
-    rows = rows.where(F.col("page.text").isNotNull())  # one start more than pages
-    return rows.select(
-        "document_id", (F.col("at") + 1).alias("page"), F.col("page.text").alias("text"),
-        F.col("page.start").alias("start_offset"), (F.col("page.start") + F.length("page.text")).alias("end_offset"),
-    )
+    whole = let({"pieces": pieces}, lambda p: let({"lengths": F.transform(p["pieces"], lambda x: F.length(x) + 1)}, lambda n: F.arrays_zip(p["pieces"].alias("text"), running_starts(n["lengths"]).alias("start"))))
+    rows = documents.select(F.col(document).alias("document_id"), F.posexplode(whole).alias("at", "page"))
+    text, start = rows["page"]["text"], rows["page"]["start"]
+    return rows.select("document_id", (F.col("at") + 1).alias("page"), text.alias("text"), start.alias("start_offset"), (start + F.length(text)).alias("end_offset"))
 
 
 def with_offsets(pages: DataFrame) -> DataFrame:
     """Offsets of stored pages (document_id, page, text)."""
     before = Window.partitionBy("document_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))
-    return pages.withColumn("start_offset", start).withColumn("end_offset", start + F.length("text"))
+    start = F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("int")
+    return pages.withColumn("start_offset", start).withColumn("end_offset", F.col("start_offset") + F.length("text"))
 
 
 def document_text(pages: DataFrame, separator: str = "\f") -> DataFrame:

@@ -45,23 +45,32 @@ def pair_id(a: Column, b: Column) -> Column:
     return F.concat(F.least(a.cast("string"), b.cast("string")), F.lit("::"), F.greatest(a.cast("string"), b.cast("string")))
 
 
+def telling_letters(key: Column, low: float) -> Column:
+    """Letters of a name with how often they came before, the later the rarer, as many as a similar name must share one of.
+
+    Names alike by ``low`` share at least low / (2 - low) of a name's letters, each with its number of times; so one
+    lies among as many of the first as are left out of that, and one more, in any order that all names share."""
+    letters = F.regexp_extract_all(key, F.lit("(?s)."), F.lit(0))
+    numbered = F.transform(letters, lambda c, i: F.struct((-F.size(F.filter(F.slice(letters, 1, i + 1), lambda d: d == c))).alias("nth"), c.alias("letter")))
+    n = F.size(letters)
+    return F.slice(F.array_sort(numbered), F.lit(1), n - F.ceil(n * (low / (2 - low)) - 1e-9).cast("int") + 1)
+
+
 def ambiguous_pairs(facts: DataFrame, low: float = 0.82, high: float = 0.97, top: int | None = 20) -> DataFrame:
     """(pair_id, a_fact_id, b_fact_id, similarity): facts of one predicate and two documents whose different
-    entity keys are alike. Names are compared once for each predicate and pair of keys, after bounds on
-    their lengths and shared letters; the best ``top`` are returned."""
-    keys = facts.select("predicate_key", "entity_key").distinct()
-    x, y = keys.toDF("predicate_key", "key_a"), keys.toDF("predicate_key", "key_b")
+    entity keys are alike. Names meet once for each predicate, through a telling letter that both must have,
+    and are compared after bounds on their lengths and shared letters; the best ``top`` are returned, or all."""
+    keys = facts.select("predicate_key", "entity_key").where("entity_key != ''").distinct()
+    by_letter = keys.withColumn("letter", F.explode(telling_letters(F.col("entity_key"), low)))
+    x, y = by_letter.toDF("predicate_key", "key_a", "letter"), by_letter.toDF("predicate_key", "key_b", "letter")
     la, lb = F.length("key_a"), F.length("key_b")
-    letters = lambda c: F.array_sort(F.split(F.col(c), ""))
-    shared = F.size(F.array_intersect(letters("key_a"), letters("key_b")))
-    alike = x.join(y, "predicate_key").where((F.col("key_a") != F.col("key_b")) & (2 * F.least(la, lb) >= low * (la + lb)) & (shared > 0))
+    met = x.join(y, ["predicate_key", "letter"]).where((F.col("key_a") != F.col("key_b")) & (2 * F.least(la, lb) >= low * (la + lb))).select("predicate_key", "key_a", "key_b").distinct()
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(a, b)])
 
-    # Materialise the bound before the Arrow function: only what passes it is compared.
-    near = alike.withColumn("similarity", ratio("key_a", "key_b")).where((F.col("similarity") >= low) & (F.col("similarity") < high))
+    near = met.withColumn("similarity", ratio("key_a", "key_b")).where((F.col("similarity") >= low) & (F.col("similarity") < high))
     a, b = _sides(facts)
     joined = near.join(a, (F.col("a_entity_key") == F.col("key_a")) & (F.col("a_predicate_key") == F.col("predicate_key")))
     joined = joined.join(b, (F.col("b_entity_key") == F.col("key_b")) & (F.col("b_predicate_key") == F.col("predicate_key")) & _in_order() & (F.col("a_document_id") != F.col("b_document_id")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from claimweave.functions.keys import comparison_key
 from claimweave.functions.numbers import normalize_values
 from claimweave.functions.periods import parse_period
+from claimweave.sources.scratch import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,5 +102,10 @@ def normal_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = comparison_key(F.col("subject"))
     out = normalize_values(claims).withColumn("entity_key", F.regexp_replace(name, " ltd$", "")).withColumn("predicate_key", comparison_key(F.col("predicate")))
     for column, source in (("period", "temporal_scope"), ("vintage", "data_vintage")):
-        out = out.withColumn(column, parse_period(F.col(source))).withColumn(f"{column}_text", F.col(source))
+        out = out.withColumns({column: parse_period(F.col(source)), f"{column}_text": F.col(source)})
     return out
+
+
+def settled_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``normal_claims`` stored, as a ledger's facts are before they are paired: each is put in normal form once."""
+    return stored(normal_claims(spark, sf_dir), "facts")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from claimweave.functions.fixed_values import CHECKS
 from claimweave.operators import classify, evaluation, pairs, store
 
-from .claims import CLAIMS_SQL, normal_claims, table
+from .claims import CLAIMS_SQL, normal_claims, settled_claims, table
 
 OUT = [f"out_{c}" for c in CHECKS]
 
@@ -18,7 +18,7 @@ def _ids(df: DataFrame) -> list[Column]:
 
 
 def decisions(spark, sf) -> DataFrame:
-    return classify.classify(pairs.block_pairs(normal_claims(spark, sf)))
+    return classify.classify(pairs.block_pairs(settled_claims(spark, sf)))
 
 
 def block_pairs(spark, sf):
@@ -27,7 +27,7 @@ def block_pairs(spark, sf):
 
 
 def delta_pairs(spark, sf):
-    facts = normal_claims(spark, sf)
+    facts = settled_claims(spark, sf)
     new = facts.where("document_id IN ('1-URGENT', '5-LOW')")
     p = pairs.delta_pairs(facts, new)
     return p.select(*_ids(p))
@@ -222,7 +222,7 @@ def export_json_sample(spark, sf):
 
 
 def incremental_pairs(spark, sf):
-    facts = normal_claims(spark, sf)
+    facts = settled_claims(spark, sf)
     d = classify.classify(pairs.delta_pairs(facts, facts.where("document_id = 'restated'")))
     return d.select(*_ids(d), "classification")
 

@@ -50,7 +50,11 @@ def page_slice(spark, sf):
 
 
 def layout_audit(spark, sf):
-    return pages.layout_violations(_pages(spark, sf), _docs(spark, sf))
+    """Pages of which some are misnumbered, and some altered, by their document's id."""
+    kind, text = F.col("document_id") % 5, F.col("text")
+    page = F.when((kind == 0) & (F.col("page") > 1), F.col("page") + 1).otherwise(F.col("page"))
+    altered = F.when((kind == 1) & (F.col("page") == 1) & (F.length(text) > 0), F.concat(F.lit("#"), F.substring(text, F.lit(2), F.length(text)))).otherwise(text)
+    return pages.layout_violations(_pages(spark, sf).withColumns({"page": page, "text": altered}), _docs(spark, sf))
 
 
 def _turns(spark, sf):
@@ -129,7 +133,7 @@ def ev_exact(spark, sf):
 
 
 def ev_status(spark, sf):
-    """Outcome of every row. The SQL has only the rows whose outcome needs no fuzzy search."""
+    """Outcome of every row. SQL can't tell those that need a fuzzy search: tests/test_evidence.py compares all by brute force."""
     return evidence.align(_quoted(spark, sf)).select("fact_id", "status", "method", "failure_reason")
 
 
@@ -142,9 +146,10 @@ def ev_fuzzy(spark, sf):
 
 
 def ev_source_quote(spark, sf):
-    """Rows whose verified quote isn't the slice that its offsets name: none."""
-    a = evidence.align(_quoted(spark, sf))
-    return a.where("status = 'verified' AND source_quote != substring(text, start_offset + 1, end_offset - start_offset)").select("fact_id")
+    """Exact rows whose quote isn't the slice that their offsets name: those whose start was moved, by their id."""
+    a = evidence.align(_quoted(spark, sf)).where("method = 'exact'")
+    moved = a.withColumn("start_offset", F.when(F.col("fact_id") % 5 == 0, F.col("start_offset") + 1).otherwise(F.col("start_offset")))
+    return moved.where("source_quote != substring(text, start_offset + 1, end_offset - start_offset)").select("fact_id")
 
 
 def ev_norm_text(spark, sf):
@@ -302,11 +307,6 @@ def _start(end, n):
     return f"CASE WHEN {end} = last_day({end}) THEN (date_trunc('month', {end}) - ({n} - 1) * INTERVAL 1 MONTH)::DATE ELSE ({end} - {n} * INTERVAL 1 MONTH)::DATE + 1 END"
 
 
-_STATUS_SQL = """WITH q AS (SELECT doc_id, doc_id % 6 AS k, CASE WHEN doc_id % 11 <> 0 THEN text END AS text, substr(text, 10, 40) AS own FROM documents),
-    s AS (SELECT *, CASE k WHEN 1 THEN own WHEN 2 THEN regexp_replace(own, '\\s+', '  ', 'g') WHEN 3 THEN 'zq zq' ELSE '  ' END AS quote, trim(regexp_replace(own, '\\s+', ' ', 'g')) AS tidy FROM q WHERE k NOT IN (0, 5)),
-    m AS (SELECT *, CASE WHEN text IS NULL THEN 'outside' WHEN contains(text, quote) THEN 'exact' WHEN k = 4 THEN 'blank' WHEN k = 2 AND tidy = '' THEN 'blank' WHEN k = 2 THEN 'normalized' ELSE 'short' END AS r FROM s)
-    SELECT doc_id AS fact_id, CASE WHEN r IN ('exact', 'normalized') THEN 'verified' ELSE 'failed' END AS status, CASE WHEN r IN ('exact', 'normalized') THEN r ELSE 'none' END AS method,
-        CASE r WHEN 'outside' THEN 'the cited page is outside its supplied page batch' WHEN 'blank' THEN 'the evidence quote contains no text' WHEN 'short' THEN 'the quote was not found and is too short for safe fuzzy matching' END AS failure_reason FROM m"""
 _QUOTED_SQL = """q AS (SELECT doc_id AS fact_id, d.text AS text, CASE doc_id % 6 WHEN 0 THEN b.text WHEN 1 THEN substr(d.text, 10, 40) WHEN 2 THEN regexp_replace(substr(d.text, 10, 40), '\\s+', '  ', 'g') WHEN 3 THEN 'zq zq' WHEN 4 THEN '  ' ELSE 'unseen ' || substr(b.text, 1, 30) || ' qqq' END AS quote
     FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT max(item_id) + 1 FROM benchmark) WHERE d.doc_id % 11 <> 0)"""
 _PAGES_SQL = "p AS (SELECT document_id, generate_subscripts(parts, 1) AS page, unnest(parts) AS text FROM (SELECT doc_id AS document_id, string_split(text, chr(10)) AS parts FROM documents))"
@@ -319,7 +319,7 @@ SQL = {
     "page_offsets": f"WITH {_PAGES_SQL}, o AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY document_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM p) SELECT document_id, page, s::BIGINT AS start_offset, (s + length(text))::BIGINT AS end_offset FROM o",
     "document_text": "SELECT doc_id AS document_id, sha256(replace(text, chr(10), chr(12))) AS sha256 FROM documents",
     "page_slice": f"WITH {_PAGES_SQL} SELECT document_id, page, CASE WHEN length(text) >= 12 THEN substr(text, 4, 9) END AS piece FROM p",
-    "layout_audit": "SELECT doc_id AS document_id, 1 AS page, '' AS problem FROM documents WHERE false",
+    "layout_audit": f"WITH {_PAGES_SQL} SELECT document_id, 3 AS page, 'page numbers are not consecutive' AS problem FROM p WHERE document_id % 5 = 0 AND page = 2 UNION ALL SELECT document_id, 1, 'the source differs' FROM p WHERE document_id % 5 = 1 AND page = 1 AND length(text) > 0 AND left(text, 1) <> '#'",
     "page_batches": f"WITH RECURSIVE {_FOLD.format(where='')} SELECT document_id, batch::BIGINT AS batch, page FROM f",
     "batch_resume": f"WITH RECURSIVE {_FOLD.format(where='WHERE turn + 1 > 2')} SELECT document_id, batch::BIGINT AS batch, page FROM f",
     "extract_run": f"WITH RECURSIVE {_FOLD.format(where='')}, b AS (SELECT document_id, batch, count(*) AS pages, count(*) FILTER (page % 2 = 0) AS facts FROM f GROUP BY 1, 2) SELECT document_id, batch::BIGINT AS batch, sum(pages) OVER w::BIGINT AS completed_pages, sum(facts) OVER w::BIGINT AS facts_seen FROM b WINDOW w AS (PARTITION BY document_id ORDER BY batch)".replace("sum(pages) OVER w::BIGINT", "CAST(sum(pages) OVER w AS BIGINT)").replace("sum(facts) OVER w::BIGINT", "CAST(sum(facts) OVER w AS BIGINT)"),
@@ -327,8 +327,7 @@ SQL = {
     "label_is_year": f"WITH {_LABEL_SQL} SELECT o_orderkey, coalesce(TRY_CAST(label AS INTEGER) BETWEEN 1900 AND 2099, false) AS is_year FROM parsed",
     "label_coalesce": f"WITH {_LABEL_SQL} SELECT o_orderkey, coalesce(label, CASE WHEN o_orderkey % 2 = 0 THEN 'A-' || o_orderkey END) AS label, CASE WHEN label IS NOT NULL THEN 'visible_text' WHEN o_orderkey % 2 = 0 THEN 'pdf_metadata' END AS source FROM parsed",
     "ev_exact": f"WITH {_QUOTED_SQL} SELECT fact_id, (strpos(text, quote) - 1)::BIGINT AS start_offset, (strpos(text, quote) - 1 + length(quote))::BIGINT AS end_offset, sha256(quote) AS quote_sha FROM q WHERE contains(text, quote)",
-    "ev_status": _STATUS_SQL,
-    "ev_source_quote": "SELECT doc_id AS fact_id FROM documents WHERE false",
+    "ev_source_quote": f"WITH {_QUOTED_SQL} SELECT fact_id FROM q WHERE contains(text, quote) AND quote <> '' AND fact_id % 5 = 0",
     "ev_hyphen": "SELECT p_partkey, p_brand || CASE WHEN p_size % 2 = 0 THEN 'international' ELSE 'inter- national' END AS joined FROM part",
     "page_lookup": "SELECT c.conv_id AS document_id, c.turn + 1 + c.conv_id % 3 AS page, t.conv_id IS NULL AS outside FROM conversations c LEFT JOIN conversations t ON t.conv_id = c.conv_id AND t.turn = c.turn + c.conv_id % 3",
     "ev_support_guard": "SELECT p_partkey, p_size % 2 = 0 AND p_size % 3 <> 0 AS excluded, p_partkey % 4 <> 0 AND NOT (p_size % 2 = 0 AND p_size % 3 <> 0) AS eligible FROM part",

@@ -88,15 +88,19 @@ def split_candidates(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     return judged.where("problem IS NULL").drop("problem").withColumns(trimmed), judged.where("problem IS NOT NULL")
 
 
-def retrying(call: Callable[[], object], attempts: int = 4, base: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> tuple[object, int]:
-    """The call's result and the attempts it took; waits base, 2 base, 4 base, ... between them."""
+#: Errors that a later call may not meet again.
+PASSING = (ConnectionError, TimeoutError)
+
+
+def retrying(call: Callable[[], object], attempts: int = 4, base: float = 2.0, sleep: Callable[[float], None] = time.sleep, passing: tuple[type[Exception], ...] = PASSING) -> tuple[object, int]:
+    """The call's result and the number of calls made; only ``passing`` errors are tried again, after waits that double."""
     if attempts < 1 or base < 0:
         raise ValueError("attempts is 1 or more, base 0 or more")
-    for k in range(1, attempts + 1):
+    waits = [base * 2**k for k in range(attempts - 1)]
+    while True:
         try:
-            return call(), k
-        except Exception:
-            if k == attempts:
+            return call(), attempts - len(waits)
+        except passing:
+            if not waits:
                 raise
-            sleep(base * 2 ** (k - 1))
-    raise AssertionError
+            sleep(waits.pop(0))

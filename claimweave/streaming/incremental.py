@@ -28,15 +28,21 @@ def start(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint:
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def fact_writer(facts_path: str, relationships_path: str) -> Callable[[DataFrame, int], None]:
+def fact_writer(facts_path: str, relationships_path: str, shards: int = 64) -> Callable[[DataFrame, int], None]:
     """Work that appends a batch's facts and the relationships these make with all stored facts.
 
-    Each batch is a folder of its own, written over if the batch is repeated, so a restart adds nothing twice."""
+    Facts lie in folders by a hash of entity and predicate, of which a batch reads only those it has facts in. Each
+    batch is a folder of its own within, written over if the batch is repeated, so a restart adds nothing twice."""
 
     def work(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{facts_path}/batch={number}")
-        stored = spark.read.parquet(facts_path).where(F.col("batch") <= number).drop("batch")
+        shard = F.pmod(F.xxhash64("entity_key", "predicate_key"), F.lit(shards)).cast("int")
+        mine = batch.withColumns({"shard": shard, "batch": F.lit(number)})
+        mine.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard", "batch").parquet(facts_path)
+        touched = [r.shard for r in mine.select("shard").distinct().collect()]  # at most ``shards`` numbers
+        if not touched:
+            return
+        stored = spark.read.parquet(facts_path).where(F.col("shard").isin(touched) & (F.col("batch") <= number)).drop("batch", "shard")
         pairs = delta_pairs(stored, batch.select("document_id"))
         decided = classify(pairs).select("a_fact_id", "b_fact_id", "classification", "reasons", "trace")
         decided.write.mode("overwrite").parquet(f"{relationships_path}/batch={number}")
