@@ -33,7 +33,7 @@ from .tokenizing import ChunkCache, chunk_starts, flattened, strings
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-KEPT_PREFIXES, KEPT_CHUNKS, LONG_CHUNK = 300_000, 800_000, 64
+KEPT_PREFIXES, KEPT_CHUNKS, LONG_CHUNK = 300_000, 600_000, 64
 #: Rows that a task decodes at a time.
 _ROWS = 512
 

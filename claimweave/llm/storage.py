@@ -1,48 +1,5 @@
-"""Shared scratch space: the folder that the cluster names in ``spark.checkpoint.dir``."""
+"""Shared scratch space of the operators."""
 
-from __future__ import annotations
+from claimweave.sources.scratch import dropped, new_path, shared_dir, stored
 
-import re
-import tempfile
-import uuid
-from weakref import WeakKeyDictionary
-
-from pyspark.sql import DataFrame, SparkSession
-
-#: Where tables that ``stored`` gave lie.
-_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder. Only a session of one machine, as in tests, gets its own where none is named."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="spark-ckpt-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: a short lineage that outlives executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _paths[out] = path
-    return out
-
-
-def dropped(*frames: DataFrame) -> None:
-    """Deletes tables of ``stored`` that nothing reads any more: all that came of them is stored itself."""
-    for df in frames:
-        if path := _paths.pop(df, None):
-            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+__all__ = ["dropped", "new_path", "shared_dir", "stored"]

@@ -6,12 +6,14 @@ Work goes in slices of whole documents so that memory follows the slice, not the
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 2 << 20
+_libc = ctypes.CDLL(None)
 _PRIME = 0x9E3779B97F4A7C15
 _INVERSE = pow(_PRIME, -1, 1 << 64)
 _powers = {k: np.ones(1, np.uint64) for k in (_PRIME, _INVERSE)}
@@ -76,6 +78,14 @@ def text_slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
     data, offsets = text_buffer(texts)
     for lo, hi in slices(offsets):
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+    released()
+
+
+def released() -> None:
+    """Gives back to the system what Arrow and numpy have freed: a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_libc, "malloc_trim", None):
+        trim(0)
 
 
 def document_starts(n_bytes: int, offsets: np.ndarray) -> np.ndarray:

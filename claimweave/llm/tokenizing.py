@@ -16,8 +16,8 @@ import pyarrow as pa
 
 from . import textbatch as tb
 
-#: Chunks and values that a worker keeps (some 100 MB); beyond it begins anew. What is met in one slice of texts comes on top.
-KEPT_CHUNKS, KEPT_VALUES = 1_000_000, 8_000_000
+#: Chunks and values that a worker keeps (some 50 MB); beyond it begins anew. What is met in one slice of texts comes on top.
+KEPT_CHUNKS, KEPT_VALUES = 600_000, 4_000_000
 #: Bytes of distinct chunks that the library gets as one string.
 JOINED_BYTES = 1 << 16
 
