@@ -45,15 +45,19 @@ def pair_id(a: Column, b: Column) -> Column:
     return F.concat(F.least(a.cast("string"), b.cast("string")), F.lit("::"), F.greatest(a.cast("string"), b.cast("string")))
 
 
-def telling_letters(key: Column, low: float) -> Column:
-    """Letters of a name with how often they came before, the later the rarer, as many as a similar name must share one of.
+def telling_letters(keys: DataFrame, low: float) -> DataFrame:
+    """(predicate_key, entity_key, letter): as many of a name's letters, the rarest of its predicate first, as a similar
+    name must share one of. Letters are numbered by how often they came before.
 
-    Names alike by ``low`` share at least low / (2 - low) of a name's letters, each with its number of times; so one
-    lies among as many of the first as are left out of that, and one more, in any order that all names share."""
-    letters = F.regexp_extract_all(key, F.lit("(?s)."), F.lit(0))
-    numbered = F.transform(letters, lambda c, i: F.struct((-F.size(F.filter(F.slice(letters, 1, i + 1), lambda d: d == c))).alias("nth"), c.alias("letter")))
-    n = F.size(letters)
-    return F.slice(F.array_sort(numbered), F.lit(1), n - F.ceil(n * (low / (2 - low)) - 1e-9).cast("int") + 1)
+    Names alike by ``low`` share at least low / (2 - low) of a name's letters; so one lies among as many of the first
+    as are left out of that, and one more, in any order that all names share."""
+    letters = F.regexp_extract_all("entity_key", F.lit("(?s)."), F.lit(0))
+    numbered = F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, 1, i + 1), lambda d: d == c)).cast("string")))
+    each = keys.select("predicate_key", "entity_key", F.size(letters).alias("n"), F.explode(numbered).alias("letter"))
+    often = each.groupBy("predicate_key", "letter").agg(F.count(F.lit(1)).alias("often"))
+    by = each.join(often, ["predicate_key", "letter"]).groupBy("predicate_key", "entity_key", "n").agg(F.array_sort(F.collect_list(F.struct("often", "letter"))).alias("ls"))
+    kept = F.slice("ls", F.lit(1), F.col("n") - F.ceil(F.col("n") * (low / (2 - low)) - 1e-9).cast("int") + 1)
+    return by.select("predicate_key", "entity_key", F.explode(kept).alias("l")).select("predicate_key", "entity_key", "l.letter")
 
 
 def ambiguous_pairs(facts: DataFrame, low: float = 0.82, high: float = 0.97, top: int | None = 20) -> DataFrame:
@@ -61,7 +65,7 @@ def ambiguous_pairs(facts: DataFrame, low: float = 0.82, high: float = 0.97, top
     entity keys are alike. Names meet once for each predicate, through a telling letter that both must have,
     and are compared after bounds on their lengths and shared letters; the best ``top`` are returned, or all."""
     keys = facts.select("predicate_key", "entity_key").where("entity_key != ''").distinct()
-    by_letter = keys.withColumn("letter", F.explode(telling_letters(F.col("entity_key"), low)))
+    by_letter = telling_letters(keys, low)
     x, y = by_letter.toDF("predicate_key", "key_a", "letter"), by_letter.toDF("predicate_key", "key_b", "letter")
     la, lb = F.length("key_a"), F.length("key_b")
     met = x.join(y, ["predicate_key", "letter"]).where((F.col("key_a") != F.col("key_b")) & (2 * F.least(la, lb) >= low * (la + lb))).select("predicate_key", "key_a", "key_b").distinct()
