@@ -175,8 +175,9 @@ def met(blocks: DataFrame, runs: DataFrame, pairs: DataFrame, k: int) -> DataFra
 
     keys = ["dim", "class", "part", "run"]
     left = pairs.join(blocks, ["dim", "class", "part"]).select(*keys, "ids", "vectors")
-    right = pairs.join(runs.select("dim", F.col("part").alias("run"), "ids", "vectors"), ["dim", "run"]).select(*keys, "ids", "vectors")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
+    named = [f"run_{k}" for k in keys]  # other names: both sides come of ``pairs``
+    right = pairs.join(runs.select("dim", F.col("part").alias("run"), "ids", "vectors"), ["dim", "run"]).select(*keys, "ids", "vectors").toDF(*named, "ids", "vectors")
+    return left.groupBy(*keys).cogroup(right.groupBy(*named)).applyInArrow(search, "query_id long, vec_id long, score double")
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
