@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimweave.functions.binding import let
+
 from .storage import dropped, stored
 
 BLOCK, RUN = 16384, 2048
@@ -57,9 +59,9 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     """(id, v, dim, size): size is the logarithm of the norm, which no component overflows."""
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(F.coalesce(x, F.lit(0.0))) & (F.abs(F.coalesce(x, F.lit(0.0))) < float("inf")))
-    most = rows.where(finite).where(F.exists("v", lambda x: x != 0)).withColumn("most", F.array_max(F.transform("v", F.abs)))
-    squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / F.col("most")) * (x / F.col("most")))
-    return most.select("id", "v", F.size("v").alias("dim"), (F.log("most") + F.log(squares) / 2).alias("size"))
+    squares = lambda most: F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / most) * (x / most))
+    size = let({"most": F.array_max(F.transform("v", F.abs))}, lambda t: F.log(t["most"]) + F.log(squares(t["most"])) / 2)
+    return rows.where(finite).where(F.exists("v", lambda x: x != 0)).select("id", "v", F.size("v").alias("dim"), size.alias("size"))
 
 
 def packed(rows: DataFrame, size: int, by: Column) -> DataFrame:
@@ -187,7 +189,9 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's best ``k``."""
-    blocks = stored(packed(usable(vectors, id_column, vector_column), BLOCK, F.floor(F.col("size") / float(np.log(NORM_CLASS)))), "search-blocks")
+    rows = stored(usable(vectors, id_column, vector_column), "search-vectors")
+    blocks = stored(packed(rows, BLOCK, F.round(F.col("size") / float(np.log(NORM_CLASS)))), "search-blocks")  # unit vectors make one class
+    dropped(rows)
     runs = stored(packed(usable(queries, id_column, vector_column), RUN, F.lit(0)), "search-runs")
     held = blocks.select("dim", "class", "part", "top", (F.octet_length("ids") / 8).cast("long").alias("n"))
     # The classes of the longest vectors, until they hold enough: a few rows for each length.
