@@ -94,12 +94,12 @@ def document_starts(n_bytes: int, offsets: np.ndarray) -> np.ndarray:
     return flags
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and document indices of all runs of bytes that are no separators."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    inside = ~SEPARATOR[data]
+    inside = ~separator[data]
     edge = document_starts(len(data), offsets)
     before = np.empty(len(data), bool)
     before[0] = False
