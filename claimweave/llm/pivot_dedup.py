@@ -195,15 +195,14 @@ def _found(a: _Rows, b: _Rows | None, threshold: float) -> pa.Table:
 
 def linked_in_lists(entries: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """(cls, links, root): by list or pair of blocks, how many vectors each class links with, and a class it leads to."""
-    sizes = entries.groupBy(*_LIST).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    sized = entries.join(sizes, list(_LIST))
+    sizes = stored(entries.groupBy(*_LIST).agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "dedup-sizes")
 
     def short(table: pa.Table) -> pa.Table:
         return _found(_Rows(table), None, threshold)
 
-    found = sized.where(F.col("size") <= block).groupBy(*_LIST).applyInArrow(short, _FOUND)
+    found = entries.join(sizes.where(F.col("size") <= block), list(_LIST)).groupBy(*_LIST).applyInArrow(short, _FOUND)
 
-    long = sized.where(F.col("size") > block)
+    long = entries.join(sizes.where(F.col("size") > block), list(_LIST))
     part = F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / block)).cast("int")
     key = [*_LIST, "ball", "part"]
     typed = long.schema
