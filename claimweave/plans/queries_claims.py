@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimweave.functions.fixed_values import CHECKS
+from claimweave.engine import Ledger, Settings
 from claimweave.operators import classify, evaluation, pairs, store
+from claimweave.process import Workspace
+from claimweave.sources.scratch import new_path
 
 from .claims import CLAIMS_SQL, normal_claims, settled_claims, table
 
@@ -123,9 +126,18 @@ def sink_pages_once(spark, sf):
     return store.pages_once(docs, docs.where("document_id % 3 = 0")).select("document_id", "n_chars")
 
 
+def workspace(spark, settings: Settings = Settings()) -> Workspace:
+    """A new ledger in the shared scratch folder."""
+    return Workspace(spark, new_path(spark, "ledger"), settings)
+
+
 def upsert_relationship(spark, sf):
-    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("fact_a_id"), (F.col("o_orderkey") % 50).alias("fact_b_id"), F.col("o_orderstatus").alias("classification"), F.col("o_orderkey").alias("version"))
-    return store.upsert_relationships(o.where("version % 2 = 0"), o.where("version % 2 = 1"))
+    """Orders as versions of relationships, stored in two changes, the later orders first."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("fact_a_id"), (F.col("o_orderkey") % 50).cast("string").alias("fact_b_id"), F.col("o_orderstatus").alias("classification"), F.col("o_orderkey").alias("version"))
+    work = workspace(spark)
+    for half in (o.where("version % 2 = 0"), o.where("version % 2 = 1")):
+        work.save_relationships(half, order=["version"])
+    return work.tables.read("relationships").select("fact_a_id", "fact_b_id", "classification", "version")
 
 
 def retry_prepare(spark, sf):
@@ -134,15 +146,46 @@ def retry_prepare(spark, sf):
         (F.col("n_chars") % 4).cast("int").alias("processed_page_count"), F.lit(2).alias("extraction_batch_count"), F.lit(3).alias("provider_attempt_count"), F.lit(1).alias("retry_count"),
         F.when(F.col("doc_id") % 2 == 0, "m1").otherwise("m2").alias("checkpoint_model"), F.lit("p1").alias("checkpoint_prompt_version"),
     )
-    pages = docs.where("document_id % 5 != 0").select("document_id")
-    return store.prepare_retries(docs, pages, "m1", "p1").select("document_id", "status", "processed_page_count", "extraction_batch_count", "provider_attempt_count", "retry_count", "resumes")
+    work = workspace(spark)
+    Ledger(docs, docs.where("document_id % 5 != 0").select("document_id", F.lit(1).alias("page"))).write(work.folder)
+    work.retry(docs, "m1", "p1")
+    again = work.tables.read("documents").where("status = 'queued'")
+    return again.select("document_id", "status", "processed_page_count", "extraction_batch_count", "provider_attempt_count", "retry_count", F.col("checkpoint_model").isNotNull().alias("resumes"))
 
 
 def cascade_delete(spark, sf):
     facts = normal_claims(spark, sf).select("fact_id", "document_id")
-    rel = relationships(spark, sf)
-    _, left, rels = store.delete_documents(facts.where("document_id = '1-URGENT'"), facts, facts, rel)
-    return left.groupBy().agg(F.count(F.lit(1)).alias("facts")).withColumn("relationships", rels.agg(F.count(F.lit(1))).scalar())
+    docs = facts.select("document_id").distinct()
+    work = workspace(spark)
+    Ledger(docs, docs.withColumn("page", F.lit(1)), facts, relationships(spark, sf)).write(work.folder)
+    work.delete(docs.where("document_id = '1-URGENT'"))
+    left = work.tables.read("facts").groupBy().agg(F.count(F.lit(1)).alias("facts"))
+    return left.withColumn("relationships", work.tables.read("relationships").agg(F.count(F.lit(1))).scalar())
+
+
+def process_run(spark, sf):
+    """Documents with lines for pages through extraction, retry and comparison; every fifth fails at page 17 the first time."""
+
+    def provider(fails: bool):
+        def provide(document, given):
+            if fails and document % 5 == 0 and any(page == 17 for page, _ in given):
+                raise ValueError("page 17")
+            return [{"page": page, "subject": f"Line of {document}" if text else "", "predicate": "Text", "value": str(page), "quote": text[:40]} for page, text in given]
+
+        return provide
+
+    work = workspace(spark, Settings(batch_chars=100_000_000, attempts=1))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    work.submit(docs, "\n")
+    for fails in (True, False):
+        work.process(provider(fails), "m", "p", per_round=4096)
+        if fails:
+            work.retry(work.ledger().documents.where("status = 'failed'"), "m", "p")
+    book = work.ledger()
+    count = lambda t, name: t.groupBy("document_id").agg(F.count(F.lit(1)).alias(name))
+    out = book.documents.join(count(book.facts, "facts"), "document_id", "left").join(count(book.quarantine, "quarantined"), "document_id", "left")
+    counters = ("processed_page_count", "extraction_batch_count", "provider_attempt_count", "retry_count")
+    return out.select("document_id", "status", *(F.col(c).cast("long").alias(c) for c in counters), F.coalesce("facts", F.lit(0)).alias("facts"), F.coalesce("quarantined", F.lit(0)).alias("quarantined"))
 
 
 def rel_by_document(spark, sf):
@@ -244,6 +287,10 @@ LEDGER_SQL = {
     "retry_prepare": """SELECT doc_id AS document_id, 'queued' AS status, CAST(CASE WHEN keep THEN n_chars % 4 ELSE 0 END AS INTEGER) AS processed_page_count, CASE WHEN keep THEN 2 ELSE 0 END AS extraction_batch_count,
         CASE WHEN keep THEN 3 ELSE 0 END AS provider_attempt_count, 2 AS retry_count, keep AS resumes FROM (SELECT *, n_chars % 4 > 0 AND doc_id % 2 = 0 AND doc_id % 5 <> 0 AS keep FROM documents WHERE doc_id % 3 = 0)""",
     "cascade_delete": f"{_OUTCOMES} SELECT (SELECT count(*) FROM claims WHERE document_id <> '1-URGENT') AS facts, (SELECT count(*) FROM outcomes WHERE a_doc <> '1-URGENT' AND b_doc <> '1-URGENT') AS relationships",
+    "process_run": """WITH firsts AS (SELECT doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents) WHERE k = 1 OR text IS NULL),
+        p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM firsts WHERE text IS NOT NULL), n AS (SELECT doc_id, count(*) AS pages, count(*) FILTER (line <> '') AS facts FROM p GROUP BY 1)
+        SELECT doc_id AS document_id, CASE WHEN pages IS NULL THEN 'failed' ELSE 'completed' END AS status, coalesce(pages, 0) AS processed_page_count, coalesce((pages + 7) // 8, 0) AS extraction_batch_count, coalesce((pages + 7) // 8, 0) AS provider_attempt_count,
+        CASE WHEN pages IS NULL OR (doc_id % 5 = 0 AND pages >= 17) THEN 1 ELSE 0 END::BIGINT AS retry_count, coalesce(facts, 0) AS facts, coalesce(pages - facts, 0) AS quarantined FROM firsts LEFT JOIN n USING (doc_id)""",
     "rel_by_document": f"{REL_SQL} SELECT relationship_id, classification FROM rel WHERE fact_a_id IN (SELECT fact_id FROM claims WHERE document_id = '2-HIGH') OR fact_b_id IN (SELECT fact_id FROM claims WHERE document_id = '2-HIGH')",
     "rel_with_facts": f"{REL_SQL}, page AS (SELECT * FROM rel WHERE classification = 'contradicts' ORDER BY relationship_id LIMIT 50 OFFSET 5) SELECT relationship_id, a.document_id AS doc_a, b.document_id AS doc_b, CAST(a.number AS DECIMAL(18,2)) AS number_a, CAST(b.number AS DECIMAL(18,2)) AS number_b FROM page JOIN claims a ON a.fact_id = fact_a_id JOIN claims b ON b.fact_id = fact_b_id",
     "filter_rel_class": f"{REL_SQL} SELECT relationship_id FROM rel WHERE classification = 'contradicts'",
@@ -370,7 +417,7 @@ EVALUATION_SQL = {
 
 QUERIES = {f.__name__: f for f in (
     block_pairs, delta_pairs, resolved_pairs, ambiguous_pairs, topk_ambiguous, trace_outcomes, decision_counts, trace_complete, conf_classification, display_value,
-    sink_status, sink_checkpoint, sink_pages_once, upsert_relationship, retry_prepare, cascade_delete, rel_by_document, rel_with_facts, filter_rel_class, sort_rel_page, sort_facts,
+    sink_status, sink_checkpoint, sink_pages_once, upsert_relationship, retry_prepare, cascade_delete, process_run, rel_by_document, rel_with_facts, filter_rel_class, sort_rel_page, sort_facts,
     scan_facts_eligible, scan_store, ui_search, ui_counts, related_decisions, latest_doc_list, lifecycle, exists_pages, export_json_eval, export_json_sample, incremental_pairs, set_ops,
     signature, scope_join, gt_pred_match, agg_precision_recall, rel_lookup, agg_confusion, agg_accuracy, scan_eval_json,
 )} | {k: check(c) for k, c in zip(CHECK_SQL, CHECKS)}

@@ -134,23 +134,16 @@ class Workspace:
             change.commit()
 
     def _extract(self, provider: BatchProvider, model: str, prompt_version: str, per_round: int, sleep: Callable[[float], None] | None, passing: tuple[type[Exception], ...], aliases: dict[str, DataFrame]) -> bool:
-        """One round over all documents under way; false once there is none left."""
+        """One round over all documents under way; false if there is none."""
         change = self.tables.begin()
         documents = change.read("documents").where(F.col("status") == EXTRACTING)
+        if documents.isEmpty():
+            return False
         done = documents.select("document_id", F.col("processed_page_count").alias("_done"), F.col("extraction_batch_count").alias("_batches"))
         todo = change.read("pages").join(done, "document_id").where("page > _done")
         s = self.settings
         packed = pages.page_batches(todo.drop("_done", "_batches"), s.batch_chars, s.batch_pages).where(F.col("batch") <= per_round)
         asked = stored(packed.join(todo.select("document_id", "page", "text", "_batches"), ["document_id", "page"]).withColumn("batch", F.col("batch") + F.col("_batches")).drop("_batches"), "asked")
-        ended = documents.join(change.read("pages").groupBy("document_id").agg(F.max("page").alias("_last")), "document_id").where("processed_page_count >= _last").drop("_last")
-        if asked.isEmpty():
-            ended = stored(ended, "ended")
-            if not ended.isEmpty():  # the steps between are columns of the facts that are stored already
-                change.upsert("documents", ended.withColumn("status", F.lit(CLASSIFYING)))
-                change.commit()
-            dropped(asked, ended)
-            return False
-
         attempts, base = s.attempts, s.backoff
 
         def ask(batches: pd.DataFrame) -> pd.DataFrame:
@@ -176,14 +169,16 @@ class Workspace:
         change.upsert("facts", ground(cited, s, **aliases))
         change.upsert("quarantine", quarantined(bad))
         sums = answers.groupBy("document_id").agg(F.sum("n_pages").alias("_pages"), F.count_if(F.isnull("error")).alias("_n"), F.sum("calls").alias("_calls"), F.max("error").alias("_error"))
-        counted = documents.join(sums, "document_id")
+        last = change.read("pages").groupBy("document_id").agg(F.max("page").alias("_last"))
+        counted = documents.join(last, "document_id").join(sums, "document_id", "left").fillna(0, ["_pages", "_n", "_calls"])
         more = lambda c, d: (F.col(c) + F.col(d)).cast("int")
-        some = F.col("_n") > 0
+        some, ended = F.col("_n") > 0, F.col("processed_page_count") + F.col("_pages") >= F.col("_last")
         change.upsert("documents", counted.withColumns({
             "processed_page_count": more("processed_page_count", "_pages"), "extraction_batch_count": more("extraction_batch_count", "_n"), "provider_attempt_count": more("provider_attempt_count", "_calls"),
             "checkpoint_model": F.when(some, F.lit(model)).otherwise(F.col("checkpoint_model")), "checkpoint_prompt_version": F.when(some, F.lit(prompt_version)).otherwise(F.col("checkpoint_prompt_version")),
-            "status": F.when(F.isnull("_error"), EXTRACTING).otherwise(FAILED), "failure_reason": F.col("_error"),
-        }).drop("_pages", "_n", "_calls", "_error"))
+            # Verifying and normalising are done with the facts that this change stores.
+            "status": F.when(F.col("_error").isNotNull(), FAILED).when(ended, CLASSIFYING).otherwise(EXTRACTING), "failure_reason": F.col("_error"),
+        }).drop("_pages", "_n", "_calls", "_error", "_last"))
         change.commit()
         dropped(asked, answers)
         return True

@@ -15,7 +15,7 @@ import json
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -44,7 +44,9 @@ class VersionedTables:
     spark: SparkSession
     folder: str
     tables: dict[str, Table]
-    buckets: int = 64
+    #: Buckets of a new table. One that is written anew as a whole gets one for every ``bucket_rows`` rows, if that is more.
+    buckets: int = 8
+    bucket_rows: int = 1_000_000
     #: Folders of a table beyond which a commit writes it anew.
     most_parts: int = 32
 
@@ -71,7 +73,7 @@ class VersionedTables:
         """Writes tables anew, as one folder each without marks."""
         change = self.begin()
         for name in names or list(change.state["tables"]):
-            change.replace(name, self.read(name, change.state))
+            change.compact(name)
         return change.commit()
 
     def vacuum(self, keep: int = 2) -> None:
@@ -90,8 +92,8 @@ class VersionedTables:
     def _manifest(self, version: int) -> str:
         return f"{self.folder}/_snapshots/{version:012d}.json"
 
-    def _bucket(self, name: str) -> Column:
-        return F.pmod(F.xxhash64(*(F.col(c).cast("string") for c in self.tables[name].bucket_by)), F.lit(self.buckets)).cast("int")
+    def _bucket(self, name: str, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(*(F.col(c).cast("string") for c in self.tables[name].bucket_by)), F.lit(buckets)).cast("int")
 
     def _live(self, name: str, state: dict, buckets: list[int] | None = None) -> DataFrame:
         """Rows that aren't marked, with their positions."""
@@ -127,6 +129,12 @@ class Change:
         """The table is these rows and no others."""
         self._add(name, rows, fresh=True)
 
+    def compact(self, name: str) -> None:
+        """The table's rows in one folder, without marks, in as many buckets as they fill."""
+        state = self.state["tables"][name]
+        live = sum(p["rows"] for p in state["parts"]) - sum(m["rows"] for m in state["marks"])
+        self._add(name, self.read(name), fresh=True, buckets=max(self.store.buckets, -(-live // self.store.bucket_rows)))
+
     def append(self, name: str, rows: DataFrame) -> None:
         """Rows whose keys the table is known not to hold."""
         self._add(name, rows)
@@ -147,9 +155,9 @@ class Change:
         part = self._write(name, rows)
         if part is None:
             return
-        new = self.store.spark.read.option("basePath", f"{self.store.folder}/{name}").parquet(f"{self.store.folder}/{name}/_part={part['path']}")
+        new = self.store._live(name, {"schema": rows.schema.jsonValue(), "parts": [part], "marks": []})
         self._mark(name, self.store._live(name, before, part["buckets"]).join(new.select(*keys), keys, "left_semi"))
-        self._record(name, part, new.drop("_part", "_bucket").schema)
+        self._record(name, part, rows.schema)
 
     def delete(self, name: str, gone: DataFrame, on: list[str] | None = None) -> None:
         """Rows whose columns ``on``, the key by default, are among those of ``gone``."""
@@ -164,7 +172,7 @@ class Change:
         """Makes the change visible; refused if another was since it began."""
         for name, state in list(self.state["tables"].items()):
             if len(state["parts"]) > self.store.most_parts or sum(m["rows"] for m in state["marks"]) > 0.5 * sum(p["rows"] for p in state["parts"]) > 0:
-                self.replace(name, self.read(name))
+                self.compact(name)
         self.state["version"] = self._based_on + 1
         try:
             files.write_new(self.store.spark, self.store._manifest(self.state["version"]), json.dumps(self.state))
@@ -172,21 +180,25 @@ class Change:
             raise Conflict(f"{self.store.folder} is at version {max(self.store.versions())}, the change began at {self._based_on}") from e
         return self.state["version"]
 
+    def _buckets(self, name: str) -> int:
+        return self.state["tables"].get(name, {}).get("buckets", self.store.buckets)
+
     def _buckets_of(self, name: str, rows: DataFrame) -> list[int]:
-        return [r[0] for r in rows.select(self.store._bucket(name)).distinct().collect()]  # as many numbers as there are buckets, at most
+        return [r[0] for r in rows.select(self.store._bucket(name, self._buckets(name))).distinct().collect()]  # as many numbers as there are buckets, at most
 
-    def _write(self, name: str, rows: DataFrame) -> dict | None:
-        path, at = uuid.uuid4().hex, f"{self.store.folder}/{name}"
-        rows.withColumn("_bucket", self.store._bucket(name)).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{at}/_part={path}")
-        buckets = sorted(int(n.split("=")[1]) for n in files.names(self.store.spark, f"{at}/_part={path}") if n.startswith("_bucket="))
-        if not buckets:
+    def _write(self, name: str, rows: DataFrame, buckets: int | None = None) -> dict | None:
+        path, at, seen = uuid.uuid4().hex, f"{self.store.folder}/{name}", Observation()
+        placed = rows.withColumn("_bucket", self.store._bucket(name, buckets or self._buckets(name))).hint("rebalance", "_bucket")
+        placed.observe(seen, F.count(F.lit(1)).alias("n")).write.partitionBy("_bucket").parquet(f"{at}/_part={path}")
+        if not seen.get["n"]:
             return None
-        return {"path": path, "buckets": buckets, "rows": self.store.spark.read.parquet(f"{at}/_part={path}").count()}
+        held = sorted(int(n.split("=")[1]) for n in files.names(self.store.spark, f"{at}/_part={path}") if n.startswith("_bucket="))
+        return {"path": path, "buckets": held, "rows": seen.get["n"]}
 
-    def _record(self, name: str, part: dict | None, schema: StructType, fresh: bool = False) -> None:
+    def _record(self, name: str, part: dict | None, schema: StructType, fresh: bool = False, buckets: int | None = None) -> None:
         state = self.state["tables"].get(name)
         if state is None or fresh:
-            self.state["tables"][name] = {"schema": schema.jsonValue(), "parts": [part] if part else [], "marks": []}
+            self.state["tables"][name] = {"schema": schema.jsonValue(), "buckets": buckets or self._buckets(name), "parts": [part] if part else [], "marks": []}
             return
         known = StructType.fromJson(state["schema"])
         for f in schema.fields:  # columns may come, not change
@@ -198,12 +210,13 @@ class Change:
         if part:
             state["parts"].append(part)
 
-    def _add(self, name: str, rows: DataFrame, fresh: bool = False) -> None:
-        self._record(name, self._write(name, rows), rows.schema, fresh)
+    def _add(self, name: str, rows: DataFrame, fresh: bool = False, buckets: int | None = None) -> None:
+        self._record(name, self._write(name, rows, buckets), rows.schema, fresh, buckets)
 
     def _mark(self, name: str, rows: DataFrame) -> None:
         path = uuid.uuid4().hex
         at = f"{self.store.folder}/_marks/{name}/{path}"
-        rows.select(*_POSITION).write.parquet(at)
-        if n := self.store.spark.read.schema(_MARKS).parquet(at).count():
+        seen = Observation()
+        rows.select(*_POSITION).observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(at)
+        if n := seen.get["n"]:
             self.state["tables"][name]["marks"].append({"path": path, "rows": n})
