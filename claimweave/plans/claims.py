@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from claimweave.functions.keys import comparison_key
 from claimweave.functions.numbers import normalize_values
 from claimweave.functions.periods import parse_period
-from claimweave.sources.scratch import stored
+from claimweave.sources.scratch import new_path, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,3 +109,16 @@ def normal_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 def settled_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``normal_claims`` stored, as a ledger's facts are before they are paired: each is put in normal form once."""
     return stored(normal_claims(spark, sf_dir), "facts")
+
+
+def in_parts(df: DataFrame, order: str, parts: int = 3) -> DataFrame:
+    """A stream of a table's rows in ``parts`` micro-batches, in ascending order of a column from one to the next."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, "stream")
+    bounds = df.select(F.percentile_approx(F.col(order).cast("double"), [k / parts for k in range(1, parts)]).alias("b")).first().b or []
+    part = F.lit(0)
+    for b in bounds:
+        part = part + (F.coalesce(F.col(order).cast("double"), F.lit(float("-inf"))) > b).cast("int")
+    cut = stored(df.withColumn("_part", part), "stream-cut")
+    for k in range(parts):
+        cut.where(F.col("_part") == k).drop("_part").write.parquet(f"{path}/{k}")
+    return spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(path)

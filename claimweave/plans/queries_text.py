@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimweave.functions import keys, numbers, periods
+from claimweave.functions.fixed_values import STATES
 from claimweave.operators import classify, evidence, pages, store
+from claimweave.sources.scratch import new_path
+from claimweave.sources.versioned import VersionedTables
+from claimweave.streaming import incremental, lifecycle
 
-from .claims import table
+from .claims import in_parts, table
 
 
 def _docs(spark, sf):
@@ -29,7 +33,40 @@ def dedup_by_hash(spark, sf):
 
 
 def dedup_stream(spark, sf):
-    return _docs(spark, sf).select(F.sha2("text", 256).alias("sha256")).dropDuplicates(["sha256"])
+    """Contents as they arrive in several micro-batches, by ids; no state in the stream."""
+    tables = VersionedTables(spark, new_path(spark, "seen"), incremental.SEEN)
+    incremental.start(in_parts(_docs(spark, sf), "document_id"), incremental.arrival_writer(tables), new_path(spark, "stream-checkpoint"), once=True).awaitTermination()
+    return tables.read("arrivals").where("NOT duplicate_reused").select("sha256").distinct()
+
+
+def _asked(spark, sf):
+    """Events that ask for a state: the next one for most, by the event's number."""
+    e = table(spark, sf, "events")
+    named = F.element_at(F.array(*map(F.lit, STATES)), F.pmod(F.col("event_id"), F.lit(8)).cast("int") + 1)
+    return e.where("user_id IS NOT NULL AND ts IS NOT NULL").select(F.col("user_id").alias("document_id"), named.alias("status"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("version"), (F.col("event_id") % 3).alias("pages"), F.lit(1).cast("long").alias("attempts"))
+
+
+_WALKED = ("document_id", "status", "version", "accepted", "refused", "pages", "attempts")
+
+
+def lifecycle_walk(spark, sf):
+    return lifecycle.walked(_asked(spark, sf)).select(*_WALKED)
+
+
+def lifecycle_stream(spark, sf):
+    """The same from a stream in several micro-batches, states kept in the state store."""
+    tables = VersionedTables(spark, new_path(spark, "states"), incremental.STATES)
+    stream = lifecycle.live_states(in_parts(_asked(spark, sf), "ts"))
+    incremental.start(stream, incremental.state_writer(tables), new_path(spark, "stream-checkpoint"), once=True, mode="update").awaitTermination()
+    return tables.read("states").select(*_WALKED)
+
+
+_LIFECYCLE_SQL = """WITH e AS (SELECT user_id, ts, event_id, event_id % 8 AS s FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+    folded AS (SELECT user_id, list_reduce([{'s': -1, 'v': NULL::BIGINT, 'a': 0, 'r': 0, 'p': 0}] || list({'s': s, 'v': event_id, 'a': 0, 'r': 0, 'p': 0} ORDER BY ts, event_id),
+        lambda x, y: CASE WHEN (x.s = -1 AND y.s = 0) OR (x.s BETWEEN 0 AND 5 AND y.s IN (x.s + 1, 7)) OR (x.s = 7 AND y.s = 0)
+            THEN {'s': y.s, 'v': y.v, 'a': x.a + 1, 'r': x.r, 'p': x.p + y.v % 3} ELSE {'s': x.s, 'v': x.v, 'a': x.a, 'r': x.r + 1, 'p': x.p} END) AS f FROM e GROUP BY 1)
+    SELECT user_id AS document_id, CASE WHEN f.s >= 0 THEN ['queued','ingesting','extracting','verifying','normalizing','classifying','completed','failed'][f.s + 1] END AS status,
+        f.v AS version, f.a::BIGINT AS accepted, f.r::BIGINT AS refused, f.p::BIGINT AS pages, f.a::BIGINT AS attempts FROM folded"""
 
 
 def pages_explode(spark, sf):
@@ -315,6 +352,8 @@ SQL = {
     "doc_sha256": "SELECT doc_id AS document_id, sha256(text) AS sha256 FROM documents",
     "dedup_by_hash": "SELECT doc_id AS document_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_id, doc_id <> min(doc_id) OVER (PARTITION BY sha256(text)) AS duplicate_reused FROM documents",
     "dedup_stream": "SELECT DISTINCT sha256(text) AS sha256 FROM documents",
+    "lifecycle_walk": _LIFECYCLE_SQL,
+    "lifecycle_stream": _LIFECYCLE_SQL,
     "pages_explode": f"WITH {_PAGES_SQL} SELECT document_id, page, text FROM p",
     "page_offsets": f"WITH {_PAGES_SQL}, o AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY document_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM p) SELECT document_id, page, s::BIGINT AS start_offset, (s + length(text))::BIGINT AS end_offset FROM o",
     "document_text": "SELECT doc_id AS document_id, sha256(replace(text, chr(10), chr(12))) AS sha256 FROM documents",
@@ -355,7 +394,7 @@ SQL = {
 }
 
 QUERIES = {f.__name__: f for f in (
-    doc_sha256, dedup_by_hash, dedup_stream, pages_explode, page_offsets, document_text, page_slice, layout_audit, page_batches, batch_resume, extract_run, label_parse, label_is_year, label_coalesce, label_detect,
+    doc_sha256, dedup_by_hash, dedup_stream, lifecycle_walk, lifecycle_stream, pages_explode, page_offsets, document_text, page_slice, layout_audit, page_batches, batch_resume, extract_run, label_parse, label_is_year, label_coalesce, label_detect,
     ev_exact, ev_status, ev_fuzzy, ev_source_quote, ev_norm_text, ev_hyphen, page_lookup, ev_support_guard, conf_scores, key_comparison, norm_entity, norm_predicate, norm_scope, ui_texts, scan_upload,
     norm_value, num_parse, fx_convert, parse_period, full_date_value, dates_in_text, month_math,
 )}

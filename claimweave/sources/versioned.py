@@ -125,6 +125,14 @@ class Change:
     def read(self, name: str) -> DataFrame | None:
         return self.store.read(name, self.state)
 
+    def matching(self, name: str, rows: DataFrame) -> DataFrame | None:
+        """The table's rows with the keys of others, read from the buckets these fall in; None if it was never written."""
+        if (state := self.state["tables"].get(name)) is None:
+            return None
+        keys = list(self.store.tables[name].keys)
+        near = self.store._live(name, state, self._buckets_of(name, rows)).select(StructType.fromJson(state["schema"]).names)
+        return near.join(rows.select(*keys).distinct(), keys, "left_semi")
+
     def replace(self, name: str, rows: DataFrame) -> None:
         """The table is these rows and no others."""
         self._add(name, rows, fresh=True)
@@ -148,8 +156,7 @@ class Change:
             self._add(name, latest(rows, keys, order) if order else rows.dropDuplicates(keys))
             return
         if order:
-            near = self.store._live(name, before, self._buckets_of(name, rows)).select(StructType.fromJson(before["schema"]).names)
-            rows = latest(near.join(rows.select(*keys).distinct(), keys, "left_semi").unionByName(rows, allowMissingColumns=True), keys, order)
+            rows = latest(self.matching(name, rows).unionByName(rows, allowMissingColumns=True), keys, order)
         else:
             rows = rows.dropDuplicates(keys)
         part = self._write(name, rows)

@@ -9,23 +9,57 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from claimweave.operators.classify import classify
+from claimweave.operators.pages import first_by_hash
 from claimweave.operators.pairs import delta_pairs
+from claimweave.sources.versioned import Table, VersionedTables
 
+SEEN = {"seen": Table(("sha256",), ("sha256",)), "arrivals": Table(("document_id",), ("document_id",))}
+STATES = {"states": Table(("document_id",), ("document_id",))}
 
-def distinct_arrivals(documents: DataFrame, content: str = "text") -> DataFrame:
-    """A stream's documents, one for each content hash; the hashes seen are the stream's state."""
-    return documents.withColumn("sha256", F.sha2(F.col(content), 256)).dropDuplicates(["sha256"])
 
+def start(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False, mode: str = "append") -> StreamingQuery:
+    """Runs ``work`` on each micro-batch; arrivals are exactly the source's new rows, after a restart too."""
+    writer = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).outputMode(mode)
+    return (writer.trigger(availableNow=True) if once else writer).start()
 
-def live_states(events: DataFrame) -> DataFrame:
-    """The latest state of each document of a stream of (document_id, status, ts)."""
-    return events.groupBy("document_id").agg(F.max_by("status", "ts").alias("status"), F.max("ts").alias("ts"))
 
+def arrival_writer(tables: VersionedTables, order: str = "document_id", content: str = "text") -> Callable[[DataFrame, int], None]:
+    """Work that tells new contents from those seen before, over ``SEEN``: the stream itself keeps no state.
 
-def start(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Runs ``work`` on each micro-batch; arrivals are exactly the source's new rows, after a restart too."""
-    writer = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    Hashes seen lie in buckets, of which a batch reads those its own hashes fall in, and a join that may filter them by a Bloom
+    filter of the batch first. ``arrivals`` gets (document_id, sha256, first_id, duplicate_reused), as ``first_by_hash`` gives them;
+    documents without content are each their own first. A batch is one change, and known by its number if it comes again."""
+
+    def work(batch: DataFrame, number: int) -> None:
+        change = tables.begin()
+        if change.state.get("batch", -1) >= number:
+            return
+        found = first_by_hash(batch, order, content).select(F.col(order).alias("document_id"), "sha256", "first_id")
+        hashes = found.where("sha256 IS NOT NULL").select("sha256", "first_id").distinct()
+        known = change.matching("seen", hashes)
+        if known is not None:
+            found = found.join(known.select("sha256", F.col("first_id").alias("_known")), "sha256", "left").withColumn("first_id", F.coalesce("_known", "first_id"))
+            hashes = hashes.join(known.select("sha256"), "sha256", "left_anti")
+        change.upsert("arrivals", found.select("document_id", "sha256", "first_id", (F.col("document_id") != F.col("first_id")).alias("duplicate_reused")))
+        change.append("seen", hashes)
+        change.state["batch"] = number
+        change.commit()
+
+    return work
+
+
+def state_writer(tables: VersionedTables) -> Callable[[DataFrame, int], None]:
+    """Work that keeps each document's last state of a stream of ``live_states`` in ``STATES``."""
+
+    def work(batch: DataFrame, number: int) -> None:
+        change = tables.begin()
+        if change.state.get("batch", -1) >= number:
+            return
+        change.upsert("states", batch, order=["accepted", "refused", "stalled"])  # each only grows, so a document's last row has the most
+        change.state["batch"] = number
+        change.commit()
+
+    return work
 
 
 def fact_writer(facts_path: str, relationships_path: str, shards: int = 64) -> Callable[[DataFrame, int], None]:

@@ -13,6 +13,7 @@ from claimweave.operators import classify, evaluation, evidence, pages, pairs
 from claimweave.plans import catalogue
 from claimweave.plans.queries_text import CASES, EXPECTED
 from claimweave.sources import seams
+from claimweave.sources.versioned import VersionedTables
 from claimweave.streaming import incremental
 
 
@@ -150,10 +151,10 @@ def test_seams(spark, tmp_path):
 def test_stream_takes_each_content_once(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "document_id long, text string").write.parquet(source)
-    stream = incremental.distinct_arrivals(spark.readStream.schema("document_id long, text string").parquet(source))
-    seen = []
-    incremental.start(stream, lambda batch, n: seen.extend(r.text for r in batch.collect()), str(tmp_path / "ck"), once=True).awaitTermination(120)
-    assert sorted(seen) == ["x", "y"]
+    stream = spark.readStream.schema("document_id long, text string").parquet(source)
+    tables = VersionedTables(spark, str(tmp_path / "seen"), incremental.SEEN)
+    incremental.start(stream, incremental.arrival_writer(tables), str(tmp_path / "ck"), once=True).awaitTermination(120)
+    assert {r.document_id: r.first_id for r in tables.read("arrivals").collect()} == {1: 1, 2: 1, 3: 3}
 
 
 def test_alike_names_against_all_pairs(spark):
