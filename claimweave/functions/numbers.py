@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from .fixed_values import CURRENCIES, SCALES, UNITS
 from .keys import comparison_key
 from .periods import full_date
 
+#: Fixed value: the form of a written number.
 NUMBER = r"(\()?\s*([+-])?\s*((?:\d{1,3}(?:,\d{2,3})+|\d+)(?:\.\d+)?)\s*\)?"
 #: A literal and a factor of these types multiply to decimal(38,12) without loss.
 LITERAL, FACTOR, EXACT = "decimal(19,6)", "decimal(18,6)", "decimal(38,12)"
@@ -63,11 +66,17 @@ def unit_text(unit: Column) -> Column:
 
 
 def _known_unit(text: Column) -> Column:
-    """The longest spelling that the text holds as whole words. One constant table, so plans stay small."""
-    spelled = {a: (u, d, f) for u, d, f, names in UNITS for a in names}
-    table = F.array(*(F.struct(F.lit(a).alias("alias"), *(F.lit(x).alias(n) for n, x in zip(("unit", "dimension"), spelled[a])), F.lit(spelled[a][2]).cast(FACTOR).alias("factor")) for a in _longest_first(spelled)))
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
-    return F.try_element_at(F.filter(table, lambda s: padded.contains(F.concat(F.lit(" "), F.when(s["alias"] == "%", "percent").otherwise(s["alias"]), F.lit(" ")))), F.lit(1))
+    """The longest spelling that the text holds as whole words: one pattern looks at each word's start, and only rows in which
+    it finds something go through the spellings."""
+    spelled = {}
+    for unit, dimension, factor, names in UNITS:
+        for name in names:
+            spelled.setdefault("percent" if name == "%" else name, (name, unit, dimension, factor))
+    ordered = _longest_first(spelled)
+    found = F.regexp_extract_all(text, F.lit(f"(?<![^ ])(?=({'|'.join(map(re.escape, ordered))})(?![^ ]))"), F.lit(1))
+    longest = lambda t: F.filter(F.array(*map(F.lit, ordered)), lambda w: F.array_contains(t["found"], w))[0]
+    facts = F.create_map(*[x for w in ordered for x in (F.lit(w), F.struct(*(F.lit(v).alias(n) for n, v in zip(("alias", "unit", "dimension"), spelled[w])), F.lit(spelled[w][3]).cast(FACTOR).alias("factor")))])
+    return let({"found": found}, lambda t: F.when(F.size(t["found"]) > 0, F.element_at(facts, longest(t))))
 
 
 def find_unit(value: Column, unit: Column, scale: Column) -> Column:
@@ -187,7 +196,7 @@ def exact_numbers(df: DataFrame, value: str = "value") -> DataFrame:
         from decimal import Decimal, localcontext
 
         with localcontext() as c:
-            c.prec = 60
+            c.prec = 60 + max((len(x) for x in literals if x is not None), default=0)
             return pd.Series([None if x is None else format((Decimal(x) * Decimal(s) * Decimal(u)).normalize(), "f") for x, s, u in zip(literals, scales, units)], dtype="object")
 
     over = (F.col("kind") == "numeric") & F.col("number").isNull()
@@ -197,10 +206,20 @@ def exact_numbers(df: DataFrame, value: str = "value") -> DataFrame:
     return df.withColumn("_hard", by_hand.asNondeterministic()(*asked)).withColumn("number_text", F.coalesce("_hard", plain)).drop("_hard")
 
 
+def _times(lefts: pd.Series, rights: pd.Series) -> pd.Series:
+    """Products of written decimals, rounded half up to twelve decimals; nulls stay."""
+    from decimal import ROUND_HALF_UP, Decimal, localcontext
+
+    with localcontext() as c:
+        c.prec = 100
+        return pd.Series([None if a is None else format((Decimal(a) * Decimal(b)).quantize(Decimal("1e-12"), ROUND_HALF_UP), "f") for a, b in zip(lefts, rights)], dtype="object")
+
+
 def convert_currency(df: DataFrame, rates: DataFrame, target: str, as_of: str | None = None) -> DataFrame:
     """Converts number and step by dated rates to a base (as_of, currency, rate); adds rate, rate_date and conversion_error.
 
-    A row of an unconverted number keeps it; an error leaves the row's number as it was and names the cause."""
+    A row of an unconverted number keeps it; an error leaves the row's number as it was and names the cause. A product of
+    more than 26 digits before the point has a null number, as any such number has; its rate stays for ``compare_exactly``."""
     code = currency_code(F.lit(target), F.lit(target))
     day = rates.where(F.col("as_of") == F.to_date(F.lit(as_of))) if as_of else rates
     source = day.select(F.col("currency").alias("canonical_currency"), F.col("rate").alias("_from"), F.col("as_of").alias("rate_date"))
@@ -215,7 +234,13 @@ def convert_currency(df: DataFrame, rates: DataFrame, target: str, as_of: str |
     )
     by = F.when(converts, (F.col("_from").cast("decimal(18,8)") / F.col("_to").cast("decimal(18,8)")).cast("decimal(18,8)"))
     out = out.withColumn("conversion_error", error).withColumn("rate", by)
+    # Natively where six decimals hold number and product; beyond that by decimal arithmetic, to twelve decimals as any number here.
+    product = F.pandas_udf(_times, "string").asNondeterministic()
     for name in ("number", "step"):
-        out = out.withColumn(name, F.when(F.col("rate").isNotNull(), (F.col(name).cast("decimal(20,6)") * F.col("rate")).cast(EXACT)).otherwise(F.col(name)))
+        x = F.col(name)
+        short = F.when(F.abs(x).try_cast("decimal(20,6)") == F.abs(x), x.try_cast("decimal(20,6)"))
+        hard = F.col("rate").isNotNull() & x.isNotNull() & short.isNull()
+        out = out.withColumn("_hard", product(F.when(hard, x.cast("string")), F.when(hard, F.col("rate").cast("string"))))
+        out = out.withColumn(name, F.when(F.col("rate").isNotNull(), F.coalesce((short * F.col("rate")).try_cast(EXACT), F.col("_hard").try_cast(EXACT))).otherwise(x)).drop("_hard")
     out = out.withColumn("canonical_currency", F.when(error.isNull() & (F.col("kind") == "numeric"), code).otherwise(F.col("canonical_currency")))
     return out.withColumn("rate_date", F.when(F.col("rate").isNotNull(), F.col("rate_date"))).drop("_from", "_to", "_day")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import keys, numbers, periods
 from claimweave.functions.fixed_values import STATES
-from claimweave.operators import classify, evidence, pages, store
+from claimweave.operators import classify, dictionary, evidence, pages, store
 from claimweave.sources.scratch import new_path
 from claimweave.sources.versioned import VersionedTables
 from claimweave.streaming import incremental, lifecycle
@@ -165,8 +165,8 @@ def _quoted(spark, sf):
 
 
 def ev_exact(spark, sf):
-    a = evidence.align(_quoted(spark, sf).where("text IS NOT NULL"))
-    return a.where("method = 'exact'").select("fact_id", F.col("start_offset").cast("long"), F.col("end_offset").cast("long"), F.sha2("source_quote", 256).alias("quote_sha"))
+    a = evidence.align(_quoted(spark, sf), exact_only=True)
+    return a.select("fact_id", F.col("start_offset").cast("long"), F.col("end_offset").cast("long"), F.sha2("source_quote", 256).alias("quote_sha"))
 
 
 def ev_status(spark, sf):
@@ -182,9 +182,14 @@ def ev_fuzzy(spark, sf):
     return a.select("fact_id", "status", "method", F.col("similarity").cast("decimal(18,6)").alias("similarity"), "start_offset", "end_offset")
 
 
+def ev_told(spark, sf):
+    """Outcomes that SQL can tell as well: all but those that only a fuzzy search tells apart."""
+    return evidence.align(_quoted(spark, sf).where("fact_id % 6 NOT IN (0, 5)")).select("fact_id", "status", "method", "failure_reason")
+
+
 def ev_source_quote(spark, sf):
     """Exact rows whose quote isn't the slice that their offsets name: those whose start was moved, by their id."""
-    a = evidence.align(_quoted(spark, sf)).where("method = 'exact'")
+    a = evidence.align(_quoted(spark, sf), exact_only=True)
     moved = a.withColumn("start_offset", F.when(F.col("fact_id") % 5 == 0, F.col("start_offset") + 1).otherwise(F.col("start_offset")))
     return moved.where("source_quote != substring(text, start_offset + 1, end_offset - start_offset)").select("fact_id")
 
@@ -285,7 +290,7 @@ def _cases(spark, sf):
 
 
 def norm_value(spark, sf):
-    n = numbers.normalize_values(_cases(spark, sf))
+    n = dictionary.normalised(_cases(spark, sf), ["value", "unit", "currency"], numbers.normalize_values)
     short = lambda c: F.col(c).cast("decimal(30,6)").alias(c)
     return n.groupBy("value", "kind", "number", "text_value", "canonical_unit", "dimension", "canonical_currency", "step").agg(F.count(F.lit(1)).alias("n")).select("value", "kind", short("number"), "text_value", "canonical_unit", "dimension", "canonical_currency", short("step"), "n")
 
@@ -316,8 +321,9 @@ def _worded(spark, sf):
 
 
 def parse_period(spark, sf):
-    p = periods.parse_period(F.col("scope"))
-    return _worded(spark, sf).select("o_orderkey", p["start"].alias("start_date"), p["end"].alias("end_date"), p["granularity"].alias("granularity"), p["parsed"].alias("parsed"))
+    p = F.col("period")
+    parsed = dictionary.normalised(_worded(spark, sf), ["scope"], lambda t: t.withColumn("period", periods.parse_period(F.col("scope"))))
+    return parsed.select("o_orderkey", p["start"].alias("start_date"), p["end"].alias("end_date"), p["granularity"].alias("granularity"), p["parsed"].alias("parsed"))
 
 
 def full_date_value(spark, sf):
@@ -346,6 +352,11 @@ def _start(end, n):
 
 _QUOTED_SQL = """q AS (SELECT doc_id AS fact_id, d.text AS text, CASE doc_id % 6 WHEN 0 THEN b.text WHEN 1 THEN substr(d.text, 10, 40) WHEN 2 THEN regexp_replace(substr(d.text, 10, 40), '\\s+', '  ', 'g') WHEN 3 THEN 'zq zq' WHEN 4 THEN '  ' ELSE 'unseen ' || substr(b.text, 1, 30) || ' qqq' END AS quote
     FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT max(item_id) + 1 FROM benchmark) WHERE d.doc_id % 11 <> 0)"""
+_TOLD_SQL = """WITH q AS (SELECT doc_id, doc_id % 6 AS k, CASE WHEN doc_id % 11 <> 0 THEN text END AS text, substr(text, 10, 40) AS own FROM documents),
+    s AS (SELECT *, CASE k WHEN 1 THEN own WHEN 2 THEN regexp_replace(own, '\\s+', '  ', 'g') WHEN 3 THEN 'zq zq' ELSE '  ' END AS quote, trim(regexp_replace(own, '\\s+', ' ', 'g')) AS tidy FROM q WHERE k NOT IN (0, 5)),
+    m AS (SELECT *, CASE WHEN text IS NULL THEN 'outside' WHEN contains(text, quote) THEN 'exact' WHEN k = 4 THEN 'blank' WHEN k = 2 AND tidy = '' THEN 'blank' WHEN k = 2 THEN 'normalized' ELSE 'short' END AS r FROM s)
+    SELECT doc_id AS fact_id, CASE WHEN r IN ('exact', 'normalized') THEN 'verified' ELSE 'failed' END AS status, CASE WHEN r IN ('exact', 'normalized') THEN r ELSE 'none' END AS method,
+        CASE r WHEN 'outside' THEN 'the cited page is outside its supplied page batch' WHEN 'blank' THEN 'the evidence quote contains no text' WHEN 'short' THEN 'the quote was not found and is too short for safe fuzzy matching' END AS failure_reason FROM m"""
 _PAGES_SQL = "p AS (SELECT document_id, generate_subscripts(parts, 1) AS page, unnest(parts) AS text FROM (SELECT doc_id AS document_id, string_split(text, chr(10)) AS parts FROM documents))"
 
 SQL = {
@@ -366,6 +377,7 @@ SQL = {
     "label_is_year": f"WITH {_LABEL_SQL} SELECT o_orderkey, coalesce(TRY_CAST(label AS INTEGER) BETWEEN 1900 AND 2099, false) AS is_year FROM parsed",
     "label_coalesce": f"WITH {_LABEL_SQL} SELECT o_orderkey, coalesce(label, CASE WHEN o_orderkey % 2 = 0 THEN 'A-' || o_orderkey END) AS label, CASE WHEN label IS NOT NULL THEN 'visible_text' WHEN o_orderkey % 2 = 0 THEN 'pdf_metadata' END AS source FROM parsed",
     "ev_exact": f"WITH {_QUOTED_SQL} SELECT fact_id, (strpos(text, quote) - 1)::BIGINT AS start_offset, (strpos(text, quote) - 1 + length(quote))::BIGINT AS end_offset, sha256(quote) AS quote_sha FROM q WHERE contains(text, quote)",
+    "ev_told": _TOLD_SQL,
     "ev_source_quote": f"WITH {_QUOTED_SQL} SELECT fact_id FROM q WHERE contains(text, quote) AND quote <> '' AND fact_id % 5 = 0",
     "ev_hyphen": "SELECT p_partkey, p_brand || CASE WHEN p_size % 2 = 0 THEN 'international' ELSE 'inter- national' END AS joined FROM part",
     "page_lookup": "SELECT c.conv_id AS document_id, c.turn + 1 + c.conv_id % 3 AS page, t.conv_id IS NULL AS outside FROM conversations c LEFT JOIN conversations t ON t.conv_id = c.conv_id AND t.turn = c.turn + c.conv_id % 3",
@@ -395,6 +407,6 @@ SQL = {
 
 QUERIES = {f.__name__: f for f in (
     doc_sha256, dedup_by_hash, dedup_stream, lifecycle_walk, lifecycle_stream, pages_explode, page_offsets, document_text, page_slice, layout_audit, page_batches, batch_resume, extract_run, label_parse, label_is_year, label_coalesce, label_detect,
-    ev_exact, ev_status, ev_fuzzy, ev_source_quote, ev_norm_text, ev_hyphen, page_lookup, ev_support_guard, conf_scores, key_comparison, norm_entity, norm_predicate, norm_scope, ui_texts, scan_upload,
+    ev_exact, ev_status, ev_told, ev_fuzzy, ev_source_quote, ev_norm_text, ev_hyphen, page_lookup, ev_support_guard, conf_scores, key_comparison, norm_entity, norm_predicate, norm_scope, ui_texts, scan_upload,
     norm_value, num_parse, fx_convert, parse_period, full_date_value, dates_in_text, month_math,
 )}
