@@ -17,11 +17,28 @@ def _in_order() -> Column:
     return F.struct("a_document_id", "a_fact_id") < F.struct("b_document_id", "b_fact_id")
 
 
-def block_pairs(facts: DataFrame, cross_document_only: bool = True) -> DataFrame:
-    """Pairs within an entity and predicate, in order of document and fact. A frequent block is a skewed
-    equi-join key, which adaptive execution splits."""
-    a, b = _sides(facts)
-    pairs = a.join(b, (F.col("a_entity_key") == F.col("b_entity_key")) & (F.col("a_predicate_key") == F.col("b_predicate_key")) & _in_order() & (F.col("a_fact_id") != F.col("b_fact_id")))
+#: Facts of a block's part; a block with more is cut in as many parts as it fills.
+PART_FACTS = 4096
+
+
+def block_pairs(facts: DataFrame, cross_document_only: bool = True, part_facts: int = PART_FACTS) -> DataFrame:
+    """Pairs within an entity and predicate, in order of document and fact.
+
+    A block of n facts is cut in p parts by a hash of the fact, and its pairs lie in p x p cells, part by part, all of about
+    the same size. A cell is a join key of its own: a fact goes to the p cells of its part, and no task gets a block whole. The
+    sizes of blocks are counted first; those that fill one part move once, as in a plain join."""
+    block = ["entity_key", "predicate_key"]
+    large = facts.groupBy(*block).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > part_facts).select(*block, F.ceil(F.col("_n") / part_facts).cast("int").alias("_parts"))
+    cut = facts.join(large, block, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1))).withColumn("_part", F.pmod(F.xxhash64("fact_id", "document_id"), "_parts").cast("int"))
+
+    def side(x: str, cells: Column) -> DataFrame:
+        placed = cut.withColumn("_cell", F.explode(cells))
+        return placed.select(*(F.col(c).alias(f"{x}_{c}") for c in facts.columns), *(F.col(c).alias(f"_{x}{c}") for c in ("_part", "_cell")))
+
+    a, b = side("a", F.sequence(F.lit(0), F.col("_parts") - 1)), side("b", F.sequence(F.lit(0), F.col("_parts") - 1))
+    # Both parts of a cell meet in both orders: (part of a, part of b) from a's side is (cell, part) from b's.
+    met = a.join(b, (F.col("a_entity_key") == F.col("b_entity_key")) & (F.col("a_predicate_key") == F.col("b_predicate_key")) & (F.col("_a_part") == F.col("_b_cell")) & (F.col("_a_cell") == F.col("_b_part")))
+    pairs = met.where(_in_order() & (F.col("a_fact_id") != F.col("b_fact_id"))).drop("_a_part", "_a_cell", "_b_part", "_b_cell")
     if cross_document_only:
         pairs = pairs.where(~F.col("a_document_id").eqNullSafe(F.col("b_document_id")))
     return pairs.withColumn("resolved", F.lit(False))

@@ -272,6 +272,7 @@ CASES = [
     ("1.5", "kilometres", None), ("1,000", "grams", None), ("10", "%", None), ("2", "hours", None), ("INR 100 crore", "crore", "INR"), ("INR 1,000 million", "million", "INR"),
     ("CN¥ 100", None, None), ("June 22, 2011", None, None), ("22 June 2011", None, None), ("L63090DL2011PLC221234", None, None), ("100 crore", None, None), ("100", "crore", None),
     ("(8.29)", "%", None), ("₹5 m", None, None), ("₹(452) Cr / (6.3%)", None, None), ("Not disclosed", None, None), ("12345,678", None, "usd"), ("1 box", "box", None), ("3 lakh boxes", "boxes", None), ("US$ 7.25 bn", None, None),
+    ("INR 100 trillion", None, None), ("0.12345678", None, "USD"), ("123456789012345678901234567890", None, "usd"), ("9" * 70, "kg", None), ("-2.5 trillion", None, "eur"),
 ]
 _CASES_SQL = "cases(k, value, unit, currency) AS (VALUES " + ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else "NULL" if x is None else f"'{x}'" for x in (k, *c)) + ")" for k, c in enumerate(CASES)) + ")"
 #: What each case is, worked out by hand: kind, number, text, unit, dimension, currency, step.
@@ -281,7 +282,10 @@ EXPECTED = [
     ("text", None, "2011-06-22", None, None, None, None), ("text", None, "l63090dl2011plc221234", None, None, None, None), ("text", None, "100 crore", None, None, None, None), ("numeric", "1000000000", None, None, None, None, "10000000"),
     ("numeric", "-0.0829", None, "ratio", "ratio", None, "0.0001"), ("numeric", "5", None, "m", "length", "INR", "1"), ("numeric", "-45200000", None, "ratio", "ratio", "INR", "100000"), ("text", None, "not disclosed", None, None, None, None),
     ("numeric", "12345", None, None, None, "USD", "1"), ("numeric", "1", None, "box", "custom", None, "1"), ("numeric", "300000", None, "boxes", "custom", None, "100000"), ("numeric", "7250000000", None, None, None, "USD", "10000000"),
+    ("numeric", "100000000000000", None, None, None, "INR", "1000000000000"), ("numeric", None, None, None, None, "USD", None), ("numeric", None, None, None, None, "USD", "1"), ("numeric", None, None, "kg", "mass", None, "1"), ("numeric", "-2500000000000", None, None, None, "EUR", "100000000000"),
 ]
+#: Exact digits, where the native number has none.
+DIGITS = [e[1] or (c[0] if e[0] == "numeric" else None) for c, e in zip(CASES, EXPECTED)]
 
 
 def _cases(spark, sf):
@@ -290,9 +294,9 @@ def _cases(spark, sf):
 
 
 def norm_value(spark, sf):
-    n = dictionary.normalised(_cases(spark, sf), ["value", "unit", "currency"], numbers.normalize_values)
+    n = dictionary.normalised(_cases(spark, sf), ["value", "unit", "currency"], lambda t: numbers.exact_numbers(numbers.normalize_values(t)))
     short = lambda c: F.col(c).cast("decimal(30,6)").alias(c)
-    return n.groupBy("value", "kind", "number", "text_value", "canonical_unit", "dimension", "canonical_currency", "step").agg(F.count(F.lit(1)).alias("n")).select("value", "kind", short("number"), "text_value", "canonical_unit", "dimension", "canonical_currency", short("step"), "n")
+    return n.groupBy("value", "kind", "number", "number_text", "text_value", "canonical_unit", "dimension", "canonical_currency", "step").agg(F.count(F.lit(1)).alias("n")).select("value", "kind", short("number"), "number_text", "text_value", "canonical_unit", "dimension", "canonical_currency", short("step"), "n")
 
 
 def num_parse(spark, sf):
@@ -301,10 +305,10 @@ def num_parse(spark, sf):
 
 
 def fx_convert(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("value"), F.lit(None).cast("string").alias("unit"), F.element_at(F.array(*map(F.lit, ("INR", "usd", "eur", "XYZ"))), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("currency"))
+    o = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 10 == 7, "100 trillion").when(F.col("o_orderkey") % 10 == 5, "123456789012.0625 million").otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string")).alias("value"), F.lit(None).cast("string").alias("unit"), F.element_at(F.array(*map(F.lit, ("INR", "usd", "eur", "XYZ"))), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("currency"))
     rates = spark.sql("SELECT * FROM VALUES (DATE '2026-09-08', 'USD', 1.0D), (DATE '2026-09-08', 'INR', 0.012D), (DATE '2026-09-08', 'EUR', 1.25D) AS r(as_of, currency, rate)").withColumn("rate", F.col("rate").cast("decimal(18,8)"))
     c = numbers.convert_currency(numbers.normalize_values(o), rates, "USD", "2026-09-08")
-    return c.select("o_orderkey", F.round(F.col("number"), 4).cast("decimal(18,4)").alias("number"), "canonical_currency", F.col("conversion_error").isNotNull().alias("failed"))
+    return c.select("o_orderkey", F.round(F.col("number"), 4).cast("decimal(34,4)").alias("number"), "canonical_currency", F.col("conversion_error").isNotNull().alias("failed"))
 
 
 # ---- periods ----
@@ -392,9 +396,9 @@ SQL = {
     "norm_scope": r"SELECT p_partkey, CASE WHEN p_partkey % 7 > 1 THEN c END AS scope, CASE WHEN p_partkey % 7 = 0 THEN '' WHEN p_partkey % 7 > 1 THEN c END AS cleaned FROM (SELECT p_partkey, array_to_string(regexp_extract_all(lower(p_type || ' ' || p_brand), '[\p{L}\p{N}]+'), ' ') AS c FROM part)",
     "ui_texts": "SELECT doc_id, 'Judgment ' || lang AS sentence, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f', round(b / 1024, 1)) || ' KB' ELSE printf('%.1f', round(b / 1048576, 1)) || ' MB' END AS size FROM (SELECT doc_id, lang, n_chars * 700 AS b FROM documents)",
     "scan_upload": "SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN 415 WHEN page_id % 2 <> 0 OR html = '' THEN 400 END AS reject FROM pages",
-    "norm_value": "WITH e(k, value, kind, number, text_value, canonical_unit, dimension, canonical_currency, step) AS (VALUES " + ", ".join("(" + ", ".join([str(k), f"'{c[0]}'", *("NULL" if x is None else f"'{x}'" for x in e)]) + ")" for k, (c, e) in enumerate(zip(CASES, EXPECTED))) + f") SELECT value, kind, CAST(number AS DECIMAL(30,6)) AS number, text_value, canonical_unit, dimension, canonical_currency, CAST(step AS DECIMAL(30,6)) AS step, count(*) AS n FROM lineitem JOIN e ON k = l_partkey % {len(CASES)} GROUP BY ALL",
+    "norm_value": "WITH e(k, value, number_text, kind, number, text_value, canonical_unit, dimension, canonical_currency, step) AS (VALUES " + ", ".join("(" + ", ".join([str(k), f"'{c[0]}'", *("NULL" if x is None else f"'{x}'" for x in (d, *e))]) + ")" for k, (c, d, e) in enumerate(zip(CASES, DIGITS, EXPECTED))) + f") SELECT value, kind, CAST(number AS DECIMAL(30,6)) AS number, number_text, text_value, canonical_unit, dimension, canonical_currency, CAST(step AS DECIMAL(30,6)) AS step, count(*) AS n FROM lineitem JOIN e ON k = l_partkey % {len(CASES)} GROUP BY ALL",
     "num_parse": "SELECT l_orderkey, l_partkey, l_linenumber, CAST(CASE WHEN l_linenumber % 3 = 2 THEN 1 ELSE -1 END * CAST(l_extendedprice AS DECIMAL(18,2)) AS DECIMAL(18,2)) AS number, CAST(0.01 AS DECIMAL(18,6)) AS quantum FROM lineitem",
-    "fx_convert": """SELECT o_orderkey, CAST(round(CAST(o_totalprice AS DECIMAL(18,2)) * CASE o_orderkey % 4 WHEN 0 THEN 0.0120 WHEN 2 THEN 1.2500 ELSE 1.0000 END, 4) AS DECIMAL(18,4)) AS number, CASE WHEN o_orderkey % 4 = 3 THEN 'XYZ' ELSE 'USD' END AS canonical_currency, o_orderkey % 4 = 3 AS failed FROM orders""",
+    "fx_convert": """SELECT o_orderkey, CAST(round(CASE o_orderkey % 10 WHEN 7 THEN CAST(100000000000000 AS DECIMAL(22,2)) WHEN 5 THEN CAST(123456789012062500 AS DECIMAL(22,2)) ELSE CAST(o_totalprice AS DECIMAL(22,2)) END * CASE o_orderkey % 4 WHEN 0 THEN 0.0120 WHEN 2 THEN 1.2500 ELSE 1.0000 END, 4) AS DECIMAL(34,4)) AS number, CASE WHEN o_orderkey % 4 = 3 THEN 'XYZ' ELSE 'USD' END AS canonical_currency, o_orderkey % 4 = 3 AS failed FROM orders""",
     "parse_period": f"""WITH w AS (SELECT o_orderkey, o_orderkey % 12 AS k, o_orderdate::DATE AS d, last_day(o_orderdate::DATE) AS l, year(o_orderdate) AS y FROM orders)
         SELECT o_orderkey, CASE k WHEN 1 THEN d WHEN 2 THEN {_start('d', 3)} WHEN 3 THEN {_start('d', 12)} WHEN 4 THEN date_trunc('month', d)::DATE WHEN 5 THEN make_date(y, 1, 1) WHEN 6 THEN make_date(y - 1, 4, 1) WHEN 7 THEN make_date(y - 1, 7, 1) WHEN 8 THEN d WHEN 9 THEN {_start('l', 9)} WHEN 11 THEN make_date(y, 4, 1) END AS start_date,
         CASE k WHEN 1 THEN d WHEN 2 THEN d WHEN 3 THEN d WHEN 4 THEN l WHEN 5 THEN make_date(y, 12, 31) WHEN 6 THEN make_date(y, 3, 31) WHEN 7 THEN make_date(y - 1, 9, 30) WHEN 8 THEN d + 40 WHEN 9 THEN l WHEN 11 THEN make_date(y + 1, 3, 31) END AS end_date,

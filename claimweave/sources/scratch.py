@@ -9,6 +9,8 @@ from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .files import delete
+
 #: Where tables that ``stored`` gave lie.
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
@@ -26,8 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """The folder below the shared one that holds all that this application stores."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this application has stored. Results that were not written elsewhere can't be read any more."""
+    delete(spark, session_dir(spark))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -44,5 +56,4 @@ def dropped(*frames: DataFrame) -> None:
     """Deletes tables of ``stored`` that nothing reads any more: all that came of them is stored itself."""
     for df in frames:
         if path := _paths.pop(df, None):
-            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            delete(df.sparkSession, path)

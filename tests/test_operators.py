@@ -235,3 +235,36 @@ def test_evaluation_as_a_whole(spark, tmp_path):
 def test_plans_stay_small(spark, sf, name):
     plan = catalogue.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 100_000
+
+
+def test_a_block_of_half_the_facts_is_dealt_out(spark):
+    rows = [(k, f"d{k % 7}" if k % 11 else None, "hot" if k % 2 else f"e{k % 90}", "p", f"text {k}") for k in range(1200)]
+    facts = spark.createDataFrame(rows, "fact_id long, document_id string, entity_key string, predicate_key string, note string").repartition(3)
+    found = pairs.block_pairs(facts, part_facts=64)
+    got = sorted((r.a_fact_id, r.b_fact_id) for r in found.collect())
+    want = sorted((x[0], y[0]) for x in rows for y in rows if x[2] == y[2] and x[1] is not None and y[1] is not None and x[1] != y[1] and (x[1], x[0]) < (y[1], y[0]))
+    with_null = {(x[0], y[0]) if x[1] is None else (y[0], x[0]) for x in rows for y in rows if x[2] == y[2] and (x[1] is None) != (y[1] is None)}
+    assert set(want) == {p for p in got if p not in with_null} and len(got) == len(set(got)) and set(got) - set(want) == with_null
+    shuffled = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    for k, v in shuffled.items():
+        spark.conf.set(k, v)
+    try:
+        made = pairs.block_pairs(facts, part_facts=64).select(F.spark_partition_id().alias("k")).groupBy("k").count().collect()
+    finally:
+        for k in shuffled:
+            spark.conf.unset(k)
+    assert len(made) == 4 and max(r["count"] for r in made) < 2 * sum(r["count"] for r in made) / len(made)
+
+
+def test_fiscal_years(spark):
+    from datetime import date
+
+    rows = spark.createDataFrame([(24, None), (2024, None), (99, 0), (2023, 24), (1999, 2000), (2019, 22), (1998, None)], "a int, b int")
+    got = {}
+    for month in (1, 4, 10):
+        start, end = periods.fiscal_bounds(F.col("a"), F.col("b"), month)
+        got |= {(r.a, r.b, month): (r.s, r.e) for r in rows.select("a", "b", start.alias("s"), end.alias("e")).collect()}
+    d = date
+    assert got[24, None, 1] == (d(2024, 1, 1), d(2024, 12, 31)) and got[24, None, 4] == got[2024, None, 4] == (d(2023, 4, 1), d(2024, 3, 31)) and got[1998, None, 10] == (d(1997, 10, 1), d(1998, 9, 30))
+    assert got[99, 0, 4] == got[1999, 2000, 4] == (d(1999, 4, 1), d(2000, 3, 31)) and got[2023, 24, 10] == (d(2023, 10, 1), d(2024, 9, 30)) and got[2023, 24, 1] == (d(2023, 1, 1), d(2023, 12, 31))
+    assert got[2019, 22, 4] == (d(2019, 4, 1), d(2022, 3, 31))
