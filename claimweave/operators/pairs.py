@@ -17,28 +17,32 @@ def _in_order() -> Column:
     return F.struct("a_document_id", "a_fact_id") < F.struct("b_document_id", "b_fact_id")
 
 
-#: Facts of a block's part; a block with more is cut in as many parts as it fills.
-PART_FACTS = 4096
+#: Rows of a key's part; a key with more is cut in as many parts as it fills.
+PART_ROWS = 4096
 
 
-def block_pairs(facts: DataFrame, cross_document_only: bool = True, part_facts: int = PART_FACTS) -> DataFrame:
-    """Pairs within an entity and predicate, in order of document and fact.
+def in_cells(rows: DataFrame, key: list[str], by: list[str], part_rows: int = PART_ROWS) -> DataFrame:
+    """``rows`` with ``_part`` and ``_cell``, ready to be joined with themselves on a key that may be frequent.
 
-    A block of n facts is cut in p parts by a hash of the fact, and its pairs lie in p x p cells, part by part, all of about
-    the same size. A cell is a join key of its own: a fact goes to the p cells of its part, and no task gets a block whole. The
-    sizes of blocks are counted first; those that fill one part move once, as in a plain join."""
-    block = ["entity_key", "predicate_key"]
-    large = facts.groupBy(*block).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > part_facts).select(*block, F.ceil(F.col("_n") / part_facts).cast("int").alias("_parts"))
-    cut = facts.join(large, block, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1))).withColumn("_part", F.pmod(F.xxhash64("fact_id", "document_id"), "_parts").cast("int"))
+    A key of n rows is cut in p parts by a hash of ``by``, and its pairs of rows lie in p x p cells, part by part, all of about the
+    same size. A row goes to the p cells of its part; one of part i in cell j meets those of part j in cell i (``same_cell``), so a
+    cell is a join key of its own and no task gets a frequent key whole. Keys are counted first; rows of those that fill one
+    part move once, as in a plain join."""
+    large = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > part_rows).select(*key, F.ceil(F.col("_n") / part_rows).cast("int").alias("_parts"))
+    cut = rows.join(large, key, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    placed = cut.withColumn("_part", F.pmod(F.xxhash64(*by), "_parts").cast("int")).withColumn("_cell", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    return placed.select(*rows.columns, "_part", "_cell")
 
-    def side(x: str, cells: Column) -> DataFrame:
-        placed = cut.withColumn("_cell", F.explode(cells))
-        return placed.select(*(F.col(c).alias(f"{x}_{c}") for c in facts.columns), *(F.col(c).alias(f"_{x}{c}") for c in ("_part", "_cell")))
 
-    a, b = side("a", F.sequence(F.lit(0), F.col("_parts") - 1)), side("b", F.sequence(F.lit(0), F.col("_parts") - 1))
-    # Both parts of a cell meet in both orders: (part of a, part of b) from a's side is (cell, part) from b's.
-    met = a.join(b, (F.col("a_entity_key") == F.col("b_entity_key")) & (F.col("a_predicate_key") == F.col("b_predicate_key")) & (F.col("_a_part") == F.col("_b_cell")) & (F.col("_a_cell") == F.col("_b_part")))
-    pairs = met.where(_in_order() & (F.col("a_fact_id") != F.col("b_fact_id"))).drop("_a_part", "_a_cell", "_b_part", "_b_cell")
+def same_cell() -> Column:
+    return (F.col("a__part") == F.col("b__cell")) & (F.col("a__cell") == F.col("b__part"))
+
+
+def block_pairs(facts: DataFrame, cross_document_only: bool = True, part_rows: int = PART_ROWS) -> DataFrame:
+    """Pairs within an entity and predicate, in order of document and fact; a frequent block is dealt out in cells."""
+    a, b = _sides(in_cells(facts, ["entity_key", "predicate_key"], ["fact_id", "document_id"], part_rows))
+    met = a.join(b, (F.col("a_entity_key") == F.col("b_entity_key")) & (F.col("a_predicate_key") == F.col("b_predicate_key")) & same_cell())
+    pairs = met.where(_in_order() & (F.col("a_fact_id") != F.col("b_fact_id"))).drop("a__part", "a__cell", "b__part", "b__cell")
     if cross_document_only:
         pairs = pairs.where(~F.col("a_document_id").eqNullSafe(F.col("b_document_id")))
     return pairs.withColumn("resolved", F.lit(False))
@@ -63,7 +67,7 @@ def pair_id(a: Column, b: Column) -> Column:
 
 
 def telling_letters(keys: DataFrame, low: float) -> DataFrame:
-    """(predicate_key, entity_key, letter): as many of a name's letters, the rarest of its predicate first, as a similar
+    """(predicate_key, entity_key, letters): as many of a name's letters, the rarest of its predicate first, as a similar
     name must share one of. Letters are numbered by how often they came before.
 
     Names alike by ``low`` share at least low / (2 - low) of a name's letters; so one lies among as many of the first
@@ -74,22 +78,41 @@ def telling_letters(keys: DataFrame, low: float) -> DataFrame:
     often = each.groupBy("predicate_key", "letter").agg(F.count(F.lit(1)).alias("often"))
     by = each.join(often, ["predicate_key", "letter"]).groupBy("predicate_key", "entity_key", "n").agg(F.array_sort(F.collect_list(F.struct("often", "letter"))).alias("ls"))
     kept = F.slice("ls", F.lit(1), F.col("n") - F.ceil(F.col("n") * (low / (2 - low)) - 1e-9).cast("int") + 1)
-    return by.select("predicate_key", "entity_key", F.explode(kept).alias("l")).select("predicate_key", "entity_key", "l.letter")
+    return by.select("predicate_key", "entity_key", F.transform(kept, lambda x: x["letter"]).alias("letters"))
+
+
+def common_length(p: str, q: str) -> int:
+    """The length of the longest common subsequence, a letter of ``q`` at a time over all of ``p`` as bits."""
+    places: dict[str, int] = {}
+    for k, c in enumerate(p):
+        places[c] = places.get(c, 0) | 1 << k
+    full = (1 << len(p)) - 1
+    row = full
+    for c in q:
+        hit = row & places.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(p) - row.bit_count()
 
 
-def ambiguous_pairs(facts: DataFrame, low: float = 0.82, high: float = 0.97, top: int | None = 20) -> DataFrame:
+def ambiguous_pairs(facts: DataFrame, low: float = 0.82, high: float = 0.97, top: int | None = 20, part_rows: int = PART_ROWS) -> DataFrame:
     """(pair_id, a_fact_id, b_fact_id, similarity): facts of one predicate and two documents whose different
-    entity keys are alike. Names meet once for each predicate, through a telling letter that both must have,
-    and are compared after bounds on their lengths and shared letters; the best ``top`` are returned, or all."""
+    entity keys are alike. Names meet once for each predicate, in the list of the first telling letter that both have, and are
+    compared after bounds on their lengths and common subsequences. A frequent letter's list is dealt out in cells. The
+    best ``top`` are returned, or all."""
     keys = facts.select("predicate_key", "entity_key").where("entity_key != ''").distinct()
-    by_letter = telling_letters(keys, low)
-    x, y = by_letter.toDF("predicate_key", "key_a", "letter"), by_letter.toDF("predicate_key", "key_b", "letter")
-    la, lb = F.length("key_a"), F.length("key_b")
-    met = x.join(y, ["predicate_key", "letter"]).where((F.col("key_a") != F.col("key_b")) & (2 * F.least(la, lb) >= low * (la + lb))).select("predicate_key", "key_a", "key_b").distinct()
+    listed = telling_letters(keys, low).withColumn("letter", F.explode("letters"))
+    a, b = _sides(in_cells(listed, ["predicate_key", "letter"], ["entity_key"], part_rows))
+    la, lb = F.length("a_entity_key"), F.length("b_entity_key")
+    shared = F.array_min(F.array_intersect("a_letters", "b_letters"))  # of the lists that hold both names, one has the pair
+    met = a.join(b, (F.col("a_predicate_key") == F.col("b_predicate_key")) & (F.col("a_letter") == F.col("b_letter")) & same_cell())
+    met = met.where((F.col("a_entity_key") != F.col("b_entity_key")) & (2 * F.least(la, lb) >= low * (la + lb)) & (shared == F.col("a_letter")))
+    met = met.select(F.col("a_predicate_key").alias("predicate_key"), F.col("a_entity_key").alias("key_a"), F.col("b_entity_key").alias("key_b"))
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(a, b)])
+        """What matches is a common subsequence, so its greatest length tells most pairs apart."""
+        likely = (2 * common_length(p, q) >= low * (len(p) + len(q)) for p, q in zip(a, b))
+        return pd.Series([difflib.SequenceMatcher(None, p, q).ratio() if ok else 0.0 for ok, p, q in zip(likely, a, b)])
 
     near = met.withColumn("similarity", ratio("key_a", "key_b")).where((F.col("similarity") >= low) & (F.col("similarity") < high))
     a, b = _sides(facts)

@@ -172,6 +172,7 @@ def test_alike_names_against_all_pairs(spark):
     facts = spark.createDataFrame(rows, "fact_id long, document_id string, entity_key string, predicate_key string")
     found = pairs.ambiguous_pairs(facts, top=None).collect()
     assert want and {r.pair_id: r.similarity for r in found} == want
+    assert {r.pair_id: r.similarity for r in pairs.ambiguous_pairs(facts, top=None, part_rows=8).collect()} == want  # frequent letters in cells
     best = pairs.ambiguous_pairs(facts, top=5).collect()
     assert [r.pair_id for r in best] == [k for k, _ in sorted(want.items(), key=lambda x: (-x[1], x[0]))[:5]]
 
@@ -240,7 +241,7 @@ def test_plans_stay_small(spark, sf, name):
 def test_a_block_of_half_the_facts_is_dealt_out(spark):
     rows = [(k, f"d{k % 7}" if k % 11 else None, "hot" if k % 2 else f"e{k % 90}", "p", f"text {k}") for k in range(1200)]
     facts = spark.createDataFrame(rows, "fact_id long, document_id string, entity_key string, predicate_key string, note string").repartition(3)
-    found = pairs.block_pairs(facts, part_facts=64)
+    found = pairs.block_pairs(facts, part_rows=64)
     got = sorted((r.a_fact_id, r.b_fact_id) for r in found.collect())
     want = sorted((x[0], y[0]) for x in rows for y in rows if x[2] == y[2] and x[1] is not None and y[1] is not None and x[1] != y[1] and (x[1], x[0]) < (y[1], y[0]))
     with_null = {(x[0], y[0]) if x[1] is None else (y[0], x[0]) for x in rows for y in rows if x[2] == y[2] and (x[1] is None) != (y[1] is None)}
@@ -249,7 +250,7 @@ def test_a_block_of_half_the_facts_is_dealt_out(spark):
     for k, v in shuffled.items():
         spark.conf.set(k, v)
     try:
-        made = pairs.block_pairs(facts, part_facts=64).select(F.spark_partition_id().alias("k")).groupBy("k").count().collect()
+        made = pairs.block_pairs(facts, part_rows=64).select(F.spark_partition_id().alias("k")).groupBy("k").count().collect()
     finally:
         for k in shuffled:
             spark.conf.unset(k)
@@ -268,3 +269,14 @@ def test_fiscal_years(spark):
     assert got[24, None, 1] == (d(2024, 1, 1), d(2024, 12, 31)) and got[24, None, 4] == got[2024, None, 4] == (d(2023, 4, 1), d(2024, 3, 31)) and got[1998, None, 10] == (d(1997, 10, 1), d(1998, 9, 30))
     assert got[99, 0, 4] == got[1999, 2000, 4] == (d(1999, 4, 1), d(2000, 3, 31)) and got[2023, 24, 10] == (d(2023, 10, 1), d(2024, 9, 30)) and got[2023, 24, 1] == (d(2023, 1, 1), d(2023, 12, 31))
     assert got[2019, 22, 4] == (d(2019, 4, 1), d(2022, 3, 31))
+
+
+def test_common_length():
+    rng = random.Random(12)
+    for _ in range(200):
+        p, q = ("".join(rng.choices("abcé𝒜 ", k=rng.randrange(12))) for _ in range(2))
+        table = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+        for i, x in enumerate(p):
+            for j, y in enumerate(q):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert pairs.common_length(p, q) == table[-1][-1]
