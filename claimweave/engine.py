@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.keys import canonical_predicates, folded, normalize_entities
-from .functions.numbers import normalize_values
+from .functions.numbers import exact_numbers, normalize_values
 from .functions.periods import parse_period
 from .operators import classify as decide
 from .operators import evidence, pages, pairs, store
@@ -44,7 +44,7 @@ def normalize_facts(facts: DataFrame, settings: Settings = Settings(), entity_al
     """Facts (subject, predicate, value, unit, currency, temporal_scope, scope, data_vintage) in normal form."""
     named = canonical_predicates(normalize_entities(facts, "subject", entity_aliases), "predicate", predicate_aliases)
     texts = {"_value": "value", "_unit": "unit", "_currency": "currency", "period_text": "temporal_scope", "vintage_text": "data_vintage", "scope_text": "scope"}
-    out = normalize_values(named.withColumns({k: folded(F.col(c)) for k, c in texts.items()}), "_value", "_unit", "_currency")
+    out = exact_numbers(normalize_values(named.withColumns({k: folded(F.col(c)) for k, c in texts.items()}), "_value", "_unit", "_currency"), "_value")
     for name in ("period", "vintage"):
         out = out.withColumn(name, parse_period(F.col(f"{name}_text"), settings.fiscal_start_month))
     return out.drop("_value", "_unit", "_currency")

@@ -189,21 +189,54 @@ def compare_exactly(left: Column, right: Column) -> Column:
 
 
 def exact_numbers(df: DataFrame, value: str = "value") -> DataFrame:
-    """Rows of ``normalize_values`` with ``number_text``: exact digits of every number, by decimal
-    arithmetic in Arrow batches where the native number is null; other rows go through as nulls."""
-    @F.pandas_udf("string")
-    def by_hand(literals: pd.Series, scales: pd.Series, units: pd.Series) -> pd.Series:
+    """Rows of ``normalize_values`` with ``number_text`` and ``step_text``: exact digits of every number and its step, by
+    decimal arithmetic in Arrow batches where the native number is null; other rows go through as nulls."""
+    @F.pandas_udf("number string, step string")
+    def by_hand(literals: pd.Series, scales: pd.Series, units: pd.Series) -> pd.DataFrame:
         from decimal import Decimal, localcontext
 
+        out = []
         with localcontext() as c:
             c.prec = 60 + max((len(x) for x in literals if x is not None), default=0)
-            return pd.Series([None if x is None else format((Decimal(x) * Decimal(s) * Decimal(u)).normalize(), "f") for x, s, u in zip(literals, scales, units)], dtype="object")
+            for x, scale, unit in zip(literals, scales, units):
+                if x is None:
+                    out.append((None, None))
+                    continue
+                by = Decimal(scale) * Decimal(unit)
+                written = Decimal(x)
+                out.append(tuple(format((y * by).normalize() + 0, "f") for y in (written, Decimal(1).scaleb(written.as_tuple().exponent))))
+        return pd.DataFrame(out, columns=["number", "step"], dtype="object")
 
     over = (F.col("kind") == "numeric") & F.col("number").isNull()
     asked = [F.when(over, x) for x in (_signed_literal(F.col(value)), F.col("scale_by").cast("string"), F.col("unit_by").cast("string"))]
-    plain = F.regexp_replace(F.regexp_replace(F.col("number").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    plain = lambda c: F.regexp_replace(F.regexp_replace(F.col(c).cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     # Marked as not deterministic, it is computed here once, not copied into the keys of joins above.
-    return df.withColumn("_hard", by_hand.asNondeterministic()(*asked)).withColumn("number_text", F.coalesce("_hard", plain)).drop("_hard")
+    hard = df.withColumn("_hard", by_hand.asNondeterministic()(*asked))
+    return hard.withColumn("number_text", F.coalesce("_hard.number", plain("number"))).withColumn("step_text", F.coalesce("_hard.step", plain("step"))).drop("_hard")
+
+
+def intervals_meet(x: Column, x_step: Column, y: Column, y_step: Column) -> Column:
+    """Whether 2 |x - y| is less than the sum of the steps, for exact digits of any length, natively.
+
+    Digits are laid in columns by place, and the sign of a sum of such columns is found from the highest: beyond a bound that lower places
+    can't make up for, it is settled."""
+    texts = {"x": x, "y": y, "s": x_step, "t": y_step}
+    whole, part = (lambda c, k=k: F.split_part(F.ltrim(c, F.lit("-")), F.lit("."), F.lit(k)) for k in (1, 2))
+    widest = lambda cut: F.greatest(*(F.length(cut(c)) for c in texts.values()))
+
+    def laid(said: Column, name: str) -> Column:
+        text = said[name]
+        places = F.split(F.concat(F.lpad(whole(text), said["whole"], F.lit("0")), F.rpad(part(text), said["part"], F.lit("0"))), "")
+        return F.transform(places, lambda d: F.coalesce(d.try_cast("int"), F.lit(0)) * F.when(F.startswith(text, F.lit("-")), -1).otherwise(1))
+
+    def below(places: Column) -> Column:
+        return F.aggregate(places, F.lit(0), lambda acc, d: F.greatest(F.least(acc * 10 + d, F.lit(1000)), F.lit(-1000))) < 0
+
+    def met(said: Column) -> Column:
+        digits = {k: laid(said, k) for k in texts}
+        return let(digits, lambda d: below(F.transform(d["x"], lambda v, i: 2 * (v - d["y"][i]) - d["s"][i] - d["t"][i])) & below(F.transform(d["x"], lambda v, i: 2 * (d["y"][i] - v) - d["s"][i] - d["t"][i])))
+
+    return let(texts | {"whole": widest(whole), "part": widest(part)}, met)
 
 
 def _times(lefts: pd.Series, rights: pd.Series) -> pd.Series:

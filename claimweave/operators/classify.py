@@ -2,7 +2,7 @@
 
 Columns by side (prefix a_ or b_): entity_key, predicate_key, kind, value, scale_by, unit_by (rate, if converted),
 number, text_value, canonical_unit, dimension, canonical_currency, step, unit, currency, period and vintage (structs of start, end, parsed,
-with their texts period_text and vintage_text), scope.
+with their texts period_text and vintage_text), scope; number_text and step_text, if facts went through ``exact_numbers``.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from claimweave.functions.fixed_values import CHECKS
 from claimweave.functions.keys import scope_key
-from claimweave.functions.numbers import compare_exactly, factors_text
+from claimweave.functions.numbers import compare_exactly, factors_text, intervals_meet
 
 
 def _a(name: str) -> Column:
@@ -43,12 +43,26 @@ def compare_periods(name: str) -> Column:
 
 def classify(pairs: DataFrame) -> DataFrame:
     """Adds classification, reasons, out_<check> for the nine checks, trace and explanation."""
-    comparable = _same("canonical_unit") & _same("dimension") & _same("canonical_currency")
     numeric = _a("kind") == "numeric"
     # Pairs with a number that the native type can't hold are compared by exact digits.
     hard = (numeric & _a("number").isNull()) | ((_b("kind") == "numeric") & _b("number").isNull())
+    texts = [f"{x}_{c}" for x in "ab" for c in ("number_text", "step_text")]
+    if set(texts) <= set(pairs.columns) and not {"a_rate", "b_rate"} & set(pairs.columns):
+        # Facts that carry their exact digits are compared natively.
+        xa, sa, xb, sb = (F.when(hard, F.col(c)) for c in texts)
+        both = (_a("kind") == "numeric") & (_b("kind") == "numeric")
+        exact = F.struct(
+            F.when(hard & both, xa == xb).alias("equal"), F.when(hard & both, (sa != sb) & intervals_meet(xa, sa, xb, sb)).alias("rounded"),
+            xa.alias("number_a"), sa.alias("step_a"), xb.alias("number_b"), sb.alias("step_b"),
+        )
+        return _decided(pairs.withColumn("_exact", exact))
     written = [F.when(hard & (x("kind") == "numeric"), factors_text(x("value"), *(x(f) for f in ("scale_by", "unit_by", "rate") if f"{p}_{f}" in pairs.columns))) for p, x in (("a", _a), ("b", _b))]
-    pairs = pairs.withColumn("_exact", compare_exactly(*written))
+    return _decided(pairs.withColumn("_exact", compare_exactly(*written)))
+
+
+def _decided(pairs: DataFrame) -> DataFrame:
+    comparable = _same("canonical_unit") & _same("dimension") & _same("canonical_currency")
+    numeric = _a("kind") == "numeric"
     equal = (
         F.when(_a("kind") != _b("kind"), None)
         .when(~numeric, _a("text_value") == _b("text_value"))
