@@ -149,9 +149,9 @@ class Ledger:
     def facts_of(self, document_id) -> DataFrame:
         return store.facts_of(self.facts, document_id)
 
-    def decisions(self, classification: str | None = None, document_id=None, offset: int = 0, limit: int = 100) -> DataFrame:
+    def decisions(self, classification: str | None = None, document_id=None, offset: int = 0, limit: int = 100, after: str | None = None) -> DataFrame:
         mine = None if document_id is None else self.facts.where(F.col("document_id") == document_id)
-        return store.with_facts(store.relationship_page(self.relationships, classification, mine, offset, limit), self.facts)
+        return store.with_facts(store.relationship_page(self.relationships, classification, mine, offset, limit, after), self.facts)
 
     def document_status(self, document_id) -> DataFrame:
         """State and counters of a document, with its number of pages and its step in the order of states."""

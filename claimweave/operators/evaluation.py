@@ -9,6 +9,7 @@ from claimweave.functions.fixed_values import CLASSES
 from claimweave.functions.keys import canonical_predicates, clean, folded, normalize_entities
 from claimweave.functions.numbers import exact_numbers, normalize_values
 from claimweave.functions.periods import parse_period
+from claimweave.sources.scratch import stored
 
 from . import dictionary
 
@@ -33,15 +34,31 @@ def in_scope(predictions: DataFrame, scope: DataFrame) -> DataFrame:
     return joined.where(F.col("_s.pages").isNull() | F.array_contains("_s.pages", F.col("page"))).drop("_doc", "_s")
 
 
-def bag_match(expected: DataFrame, predicted: DataFrame, keys: list[str] = SIGNATURE) -> DataFrame:
+#: Rows of one key that a task numbers; a key with more is cut by ranges of the order.
+NUMBERED_ROWS = 1_000_000
+
+
+def numbered(rows: DataFrame, key: str, order: str, name: str, part_rows: int = NUMBERED_ROWS) -> DataFrame:
+    """``rows`` with their number among those of their key, from 1, in the order of a number column.
+
+    A frequent key is cut at quantiles of the order; a range's first number follows from the counts of those before it, so that no
+    task gets a frequent key whole. Rows are read three times: store them first."""
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(order, [k / 64 for k in range(1, 64)], 1000).alias("_bounds")).where(F.col("_n") > part_rows)
+    cut = rows.join(sizes.select(key, "_bounds"), key, "left")
+    place = F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(order))), F.lit(0))
+    placed = cut.withColumn("_part", F.when(F.col("_bounds").isNull(), 0).otherwise(place)).drop("_bounds")
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = placed.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_m")).join(sizes.select(key), key, "left_semi").withColumn("_first", F.coalesce(F.sum("_m").over(before), F.lit(0))).drop("_m")
+    within = F.row_number().over(Window.partitionBy(key, "_part").orderBy(order))
+    return placed.withColumn("_k", within).join(firsts, [key, "_part"], "left").withColumn(name, F.col("_k") + F.coalesce("_first", F.lit(0))).drop("_k", "_part", "_first")
+
+
+def bag_match(expected: DataFrame, predicted: DataFrame, keys: list[str] = SIGNATURE, part_rows: int = NUMBERED_ROWS) -> DataFrame:
     """(expected_id, predicted_id): the k-th expected of a signature takes the k-th predicted, by ordinal."""
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("ordinal"))
-    e = expected.withColumn("_k", nth).select(F.col("id").alias("expected_id"), F.col("quote").alias("expected_quote"), *(F.col(k).alias(f"e_{k}") for k in [*keys, "_k"]))
-    p = predicted.withColumn("_k", nth).select(F.col("id").alias("predicted_id"), F.col("quote").alias("predicted_quote"), *(F.col(k).alias(f"p_{k}") for k in [*keys, "_k"]))
-    on = F.lit(True)
-    for k in [*keys, "_k"]:
-        on = on & F.col(f"e_{k}").eqNullSafe(F.col(f"p_{k}"))
-    return e.join(p, on).select("expected_id", "predicted_id", (F.col("expected_quote") == F.col("predicted_quote")).alias("same_quote"))
+    signed = F.sha2(F.to_json(F.struct(*keys)), 256)  # nulls are left out, so equal ones are one
+    side = lambda df, x: numbered(stored(df.select(F.col("id").alias(f"{x}_id"), F.col("quote").alias(f"{x}_quote"), "ordinal", signed.alias("_signature")), f"{x}-signed"), "_signature", "ordinal", "_nth", part_rows).drop("ordinal")
+    both = side(expected, "expected").join(side(predicted, "predicted"), ["_signature", "_nth"])
+    return both.select("expected_id", "predicted_id", (F.col("expected_quote") == F.col("predicted_quote")).alias("same_quote"))
 
 
 def ratio(n: Column, d: Column) -> Column:

@@ -85,14 +85,18 @@ def facts_of(facts: DataFrame, document_id) -> DataFrame:
     return facts.where(F.col("document_id") == document_id).orderBy("page", "fact_id")
 
 
-def relationship_page(relationships: DataFrame, classification: str | None = None, of_facts: DataFrame | None = None, offset: int = 0, limit: int = 100) -> DataFrame:
-    """One page of relationships by id, filtered before it is cut."""
+def relationship_page(relationships: DataFrame, classification: str | None = None, of_facts: DataFrame | None = None, offset: int = 0, limit: int = 100, after: str | None = None) -> DataFrame:
+    """One page of relationships by id, filtered before it is cut. ``after``, the last id of the page before, finds the next without
+    counting through all that come earlier: each task keeps its ``limit`` smallest beyond it."""
     if offset < 0 or not 1 <= limit <= 500:
         raise ValueError("offset is 0 or more, limit 1 to 500")
     out = relationships if classification is None else relationships.where(F.col("classification") == classification)
     if of_facts is not None:
         out = touching(out, of_facts)
-    return out.orderBy("relationship_id").offset(offset).limit(limit)
+    if after is not None:
+        out = out.where(F.col("relationship_id") > after)
+    page = out.orderBy("relationship_id")
+    return (page.offset(offset) if offset else page).limit(limit)
 
 
 def with_facts(relationships: DataFrame, facts: DataFrame) -> DataFrame:

@@ -280,3 +280,30 @@ def test_common_length():
             for j, y in enumerate(q):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
         assert pairs.common_length(p, q) == table[-1][-1]
+
+
+def test_numbers_within_a_frequent_key(spark):
+    rng = random.Random(4)
+    rows = [(f"{i}", "hot" if i % 3 else f"s{i % 5}", k, f"q{i % 4}") for i, k in enumerate(rng.sample(range(5000), 600))]
+    df = spark.createDataFrame(rows, "id string, sig string, ordinal int, quote string")
+    got = {r.id: r.n for r in evaluation.numbered(df, "sig", "ordinal", "n", part_rows=50).collect()}
+    want = {}
+    for sig in {r[1] for r in rows}:
+        want |= {r[0]: n for n, r in enumerate(sorted((r for r in rows if r[1] == sig), key=lambda r: r[2]), 1)}
+    assert got == want
+    other = spark.createDataFrame([(f"p{r[0]}", r[1], r[2], r[3]) for r in rows if r[2] % 2] + [("pn", None, 0, "q")], df.schema)
+    plain = evaluation.bag_match(df.union(spark.createDataFrame([("n", None, 9, "q")], df.schema)), other, ["sig"])
+    cut = evaluation.bag_match(df.union(spark.createDataFrame([("n", None, 9, "q")], df.schema)), other, ["sig"], part_rows=50)
+    assert sorted(plain.collect()) == sorted(cut.collect()) and ("n", "pn", True) in {tuple(r) for r in plain.collect()}
+
+
+def test_pages_by_the_last_id(spark):
+    from claimweave.operators import store
+
+    rel = spark.createDataFrame([(f"r{k:03}", "contradicts" if k % 2 else "uncertain") for k in range(50)], "relationship_id string, classification string")
+    by_offset, by_id, last = [], [], None
+    for k in range(0, 50, 7):
+        by_offset += [r[0] for r in store.relationship_page(rel, offset=k, limit=7).collect()]
+        page = [r[0] for r in store.relationship_page(rel, limit=7, after=last).collect()]
+        by_id, last = by_id + page, page[-1]
+    assert by_id == by_offset == [f"r{k:03}" for k in range(50)]
