@@ -47,6 +47,8 @@ from .components import components
 from .shingles import linked, shingle_sets
 from .storage import dropped, stored
 
+tb.mapped_apart()  # workers outlive their tasks
+
 #: A shingle is frequent in this share of documents, or in FREQUENT_LEAST if that is more; so many are listed at most.
 FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_MOST = 0.003, 24, 500_000
 #: Documents, or shingles if these are more than 500 a document, that a task counts over at a time; it reports shingles in FREQUENT_HERE of the documents.
@@ -302,6 +304,7 @@ def signature_groups(docs: DataFrame, frequent: np.ndarray, n_buckets: int, hot_
             good = good[np.unique(members[good], return_index=True)[1]]
             gid = np.repeat((np.uint64(bucket) << np.uint64(39)) | values[cuts[good]], lengths[good])
             doc = who[tb.ragged(cuts[good], lengths[good])]
+        tb.released()
         return pa.table({"gid": pa.array(gid.view(np.int64)), "doc": pa.array(doc.view(np.int64))})
 
     blobs = docs.mapInArrow(emit, "bucket int, signatures binary, docs binary")

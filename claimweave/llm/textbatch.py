@@ -88,6 +88,14 @@ def released() -> None:
         trim(0)
 
 
+def mapped_apart(least: int = 1 << 20) -> None:
+    """From now on this process gets arrays of ``least`` bytes and more from the system and gives them back once freed, and
+    its threads share two heaps: memory follows what is in use, not the sizes that were."""
+    if tune := getattr(_libc, "mallopt", None):
+        tune(-3, least)  # M_MMAP_THRESHOLD, which else rises with what is freed
+        tune(-8, 2)  # M_ARENA_MAX
+
+
 def document_starts(n_bytes: int, offsets: np.ndarray) -> np.ndarray:
     flags = np.zeros(n_bytes + 1, bool)
     flags[offsets] = True
