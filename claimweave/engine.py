@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.keys import canonical_predicates, folded, normalize_entities
 from .functions.numbers import exact_numbers, normalize_values
-from .functions.periods import parse_period
+from .functions.periods import period_of
 from .operators import classify as decide
 from .operators import evidence, pages, pairs, store
 from .sources.seams import Provider, split_candidates, tie_break
@@ -46,7 +46,7 @@ def normalize_facts(facts: DataFrame, settings: Settings = Settings(), entity_al
     texts = {"_value": "value", "_unit": "unit", "_currency": "currency", "period_text": "temporal_scope", "vintage_text": "data_vintage", "scope_text": "scope"}
     out = exact_numbers(normalize_values(named.withColumns({k: folded(F.col(c)) for k, c in texts.items()}), "_value", "_unit", "_currency"), "_value")
     for name in ("period", "vintage"):
-        out = out.withColumn(name, parse_period(F.col(f"{name}_text"), settings.fiscal_start_month))
+        out = out.withColumn(name, period_of(f"{name}_text", settings.fiscal_start_month))
     return out.drop("_value", "_unit", "_currency")
 
 

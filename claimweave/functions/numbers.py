@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .binding import let
+from .binding import built_once, let
 from .fixed_values import CURRENCIES, SCALES, UNITS
 from .keys import comparison_key
 from .periods import full_date
@@ -136,6 +136,11 @@ def _measured(s: Column) -> Column:
     return let(values, lambda t: F.struct(*(s[k].alias(k) for k in names), scaled(t, t["number"]).alias("number"), scaled(t, t["step"]).alias("step")))
 
 
+@built_once
+def _form_of(value: str, unit: str, currency: str) -> Column:
+    return let({"value": F.col(value), "unit": F.col(unit), "currency": F.col(currency)}, _form)
+
+
 def normalize_values(df: DataFrame, value: str = "value", unit: str = "unit", currency: str = "currency") -> DataFrame:
     """Adds kind, number, text_value, canonical_unit, dimension, canonical_currency, scale_by, unit_by and step.
 
@@ -143,7 +148,7 @@ def normalize_values(df: DataFrame, value: str = "value", unit: str = "unit", cu
     before or 6 after its point, or a factor of 10^12 and more of a unit's factor other than 1, has kind
     "numeric" and a null number: such rows go through ``exact_numbers`` and ``compare_exactly``.
     """
-    out = df.withColumn("_form", let({"value": F.col(value), "unit": F.col(unit), "currency": F.col(currency)}, _form))
+    out = df.withColumn("_form", _form_of(value, unit, currency))
     names = ["canonical_currency", "kind", "text_value", "canonical_unit", "dimension", "scale_by", "unit_by", "number", "step"]
     return out.withColumns({k: F.col(f"_form.{k}") for k in names}).drop("_form")
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimweave.functions.binding import built_once
 from claimweave.functions.fixed_values import CHECKS
 from claimweave.functions.keys import scope_key
 from claimweave.functions.numbers import compare_exactly, factors_text, intervals_meet
@@ -43,24 +44,44 @@ def compare_periods(name: str) -> Column:
 
 def classify(pairs: DataFrame) -> DataFrame:
     """Adds classification, reasons, out_<check> for the nine checks, trace and explanation."""
-    numeric = _a("kind") == "numeric"
-    # Pairs with a number that the native type can't hold are compared by exact digits.
-    hard = (numeric & _a("number").isNull()) | ((_b("kind") == "numeric") & _b("number").isNull())
-    texts = [f"{x}_{c}" for x in "ab" for c in ("number_text", "step_text")]
-    if set(texts) <= set(pairs.columns) and not {"a_rate", "b_rate"} & set(pairs.columns):
-        # Facts that carry their exact digits are compared natively.
-        xa, sa, xb, sb = (F.when(hard, F.col(c)) for c in texts)
-        both = (_a("kind") == "numeric") & (_b("kind") == "numeric")
-        exact = F.struct(
-            F.when(hard & both, xa == xb).alias("equal"), F.when(hard & both, (sa != sb) & intervals_meet(xa, sa, xb, sb)).alias("rounded"),
-            xa.alias("number_a"), sa.alias("step_a"), xb.alias("number_b"), sb.alias("step_b"),
-        )
-        return _decided(pairs.withColumn("_exact", exact))
-    written = [F.when(hard & (x("kind") == "numeric"), factors_text(x("value"), *(x(f) for f in ("scale_by", "unit_by", "rate") if f"{p}_{f}" in pairs.columns))) for p, x in (("a", _a), ("b", _b))]
-    return _decided(pairs.withColumn("_exact", compare_exactly(*written)))
+    texts = {f"{x}_{c}" for x in "ab" for c in ("number_text", "step_text")}
+    rates = tuple(f"{x}_rate" in pairs.columns for x in "ab")
+    if texts <= set(pairs.columns) and not any(rates):
+        return _decided(pairs.withColumn("_exact", _exact_texts()))
+    return _decided(pairs.withColumn("_exact", _exact_by_hand(*rates)))
+
+
+def _hard() -> Column:
+    """Pairs with a number that the native type can't hold, which are compared by exact digits."""
+    return F.coalesce((_a("kind") == "numeric") & _a("number").isNull(), F.lit(False)) | F.coalesce((_b("kind") == "numeric") & _b("number").isNull(), F.lit(False))
+
+
+@built_once
+def _exact_texts() -> Column:
+    """Natively, where facts carry their exact digits."""
+    xa, sa, xb, sb = (F.when(_hard(), F.col(c)) for c in ("a_number_text", "a_step_text", "b_number_text", "b_step_text"))
+    both = _hard() & (_a("kind") == "numeric") & (_b("kind") == "numeric")
+    return F.struct(
+        F.when(both, xa == xb).alias("equal"), F.when(both, (sa != sb) & intervals_meet(xa, sa, xb, sb)).alias("rounded"),
+        xa.alias("number_a"), sa.alias("step_a"), xb.alias("number_b"), sb.alias("step_b"),
+    )
+
+
+@built_once
+def _exact_by_hand(*rates: bool) -> Column:
+    written = [F.when(_hard() & (x("kind") == "numeric"), factors_text(x("value"), *(x(f) for f in ("scale_by", "unit_by", *["rate"] * rate)))) for x, rate in zip((_a, _b), rates)]
+    return compare_exactly(*written)
 
 
 def _decided(pairs: DataFrame) -> DataFrame:
+    for columns in _steps(*(f"{p}_scope_text" if f"{p}_scope_text" in pairs.columns else f"{p}_scope" for p in "ab")):
+        pairs = pairs.withColumns(columns)
+    return pairs.drop("_exact", "_entity", "_predicate", "_equal", "_unit", "_currency", "_rounded", "_time", "_vintage", "_scopes", "_gap", "_stage")
+
+
+@built_once
+def _steps(scope_a: str, scope_b: str) -> list[dict[str, Column]]:
+    """Columns in the order in which they build on each other."""
     comparable = _same("canonical_unit") & _same("dimension") & _same("canonical_currency")
     numeric = _a("kind") == "numeric"
     equal = (
@@ -68,23 +89,22 @@ def _decided(pairs: DataFrame) -> DataFrame:
         .when(~numeric, _a("text_value") == _b("text_value"))
         .when(comparable, F.coalesce("_exact.equal", _a("number") == _b("number")))
     )
-    d = pairs.withColumn("_entity", (_a("entity_key") == _b("entity_key")) | F.col("resolved")).withColumn("_predicate", _a("predicate_key") == _b("predicate_key"))
-    d = d.withColumn("_equal", equal)
+    d = [{"_entity": (_a("entity_key") == _b("entity_key")) | F.col("resolved"), "_predicate": _a("predicate_key") == _b("predicate_key"), "_equal": equal}]
     spelled = (~_same("unit")) & (_a("dimension") == _b("dimension"))
     money = [F.upper(F.coalesce(F.nullif(c("currency"), F.lit("")), c("canonical_currency"), F.lit(""))) for c in (_a, _b)]
     minted = (money[0] != "") & (money[1] != "") & (money[0] != money[1]) & _same("canonical_currency")
-    d = d.withColumn("_unit", F.coalesce(spelled, F.lit(False))).withColumn("_currency", F.coalesce(minted, F.lit(False)))
+    d.append({"_unit": F.coalesce(spelled, F.lit(False)), "_currency": F.coalesce(minted, F.lit(False))})
     rounded = numeric & (_b("kind") == "numeric") & comparable & F.coalesce("_exact.rounded", (_a("step") != _b("step")) & (2 * F.abs(_a("number") - _b("number")) < _a("step") + _b("step")))
-    d = d.withColumn("_rounded", F.coalesce(rounded, F.lit(False))).withColumn("_time", compare_periods("period")).withColumn("_vintage", compare_periods("vintage"))
-    sa, sb = (scope_key(x("scope_text" if f"{p}_scope_text" in pairs.columns else "scope")) for p, x in (("a", _a), ("b", _b)))
-    d = d.withColumn("_scopes", F.when(sa.isNull() & sb.isNull(), "same").when(sa.isNull() | sb.isNull(), "unknown").when(sa == sb, "same").otherwise("different"))
+    d.append({"_rounded": F.coalesce(rounded, F.lit(False)), "_time": compare_periods("period"), "_vintage": compare_periods("vintage")})
+    sa, sb = scope_key(F.col(scope_a)), scope_key(F.col(scope_b))
+    d.append({"_scopes": F.when(sa.isNull() & sb.isNull(), "same").when(sa.isNull() | sb.isNull(), "unknown").when(sa == sb, "same").otherwise("different")})
     gap = (
         F.when(_a("kind") != _b("kind"), "value kinds differ")
         .when(numeric & ~_same("canonical_unit"), "units are missing or cannot be converted to a common basis")
         .when(numeric & ~_same("dimension"), "unit dimensions are missing or incompatible")
         .when(numeric & ~_same("canonical_currency"), "currencies were not converted to a common dated basis")
     )
-    d = d.withColumn("_gap", gap)
+    d.append({"_gap": gap})
 
     # How far the tree is walked: the first of these that holds decides.
     stage = (
@@ -95,7 +115,7 @@ def _decided(pairs: DataFrame) -> DataFrame:
         .when((F.col("_time") == "unknown") | (F.col("_vintage") == "unknown") | (F.col("_scopes") == "unknown") | F.col("_gap").isNotNull(), "open")
         .otherwise("contradiction")
     )
-    d = d.withColumn("_stage", stage)
+    d.append({"_stage": stage})
     at = F.col("_stage")
     classification = F.when(at.isin("entity", "predicate", "open"), "uncertain").when(at == "equal", "corroborates").when(at == "contradiction", "contradicts").otherwise("reconciled")
     single = F.when(at == "rounding", "rounding").when(at == "time", "time_period").when(at == "vintage", "data_vintage").when(at == "scope", "scope")
@@ -138,10 +158,10 @@ def _decided(pairs: DataFrame) -> DataFrame:
     ]
     as_map = lambda x: F.create_map(*[y for k, v in x.items() for y in (F.lit(k), v)])
     step = lambda k: F.struct(F.lit(k + 1).alias("ord"), F.lit(CHECKS[k]).alias("check"), F.coalesce(outcomes[k], F.lit("skipped")).alias("outcome"), F.when(outcomes[k].isNull(), as_map({"reason": F.col("explanation")})).otherwise(as_map(details[k])).alias("details"))
-    d = d.withColumn("classification", classification).withColumn("reasons", reasons).withColumn("explanation", explanation)
-    d = d.withColumns({f"out_{c}": F.coalesce(o, F.lit("skipped")) for c, o in zip(CHECKS, outcomes)})
-    d = d.withColumn("trace", F.array(*map(step, range(len(CHECKS)))))
-    return d.drop("_exact", "_entity", "_predicate", "_equal", "_unit", "_currency", "_rounded", "_time", "_vintage", "_scopes", "_gap", "_stage")
+    d.append({"classification": classification, "reasons": reasons, "explanation": explanation})
+    d.append({f"out_{c}": F.coalesce(o, F.lit("skipped")) for c, o in zip(CHECKS, outcomes)})
+    d.append({"trace": F.array(*map(step, range(len(CHECKS))))})
+    return d
 
 
 def classification_confidence(trace: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from claimweave.functions.fixed_values import CLASSES
 from claimweave.functions.keys import canonical_predicates, clean, folded, normalize_entities
 from claimweave.functions.numbers import exact_numbers, normalize_values
-from claimweave.functions.periods import parse_period
+from claimweave.functions.periods import period_of
 from claimweave.sources.scratch import stored
 
 from . import dictionary
@@ -20,7 +20,7 @@ def with_signature(facts: DataFrame) -> DataFrame:
     """Adds the six parts that two facts must share: document, page, entity, predicate, value and period."""
     f = canonical_predicates(normalize_entities(facts, "subject"), "predicate").withColumns({"_value": folded(F.col("value")), "_scope": folded(F.col("temporal_scope")), "_document": folded(F.col("document_key"))})
     f = dictionary.normalised(f, ["_value", "unit", "currency"], lambda t: exact_numbers(normalize_values(t, "_value"), "_value"))
-    f = dictionary.normalised(f, ["_scope"], lambda t: t.withColumn("_period", parse_period(F.col("_scope"))))
+    f = dictionary.normalised(f, ["_scope"], lambda t: t.withColumn("_period", period_of("_scope")))
     period = F.col("_period")
     value = F.when(F.col("kind") == "numeric", F.concat_ws("|", F.lit("numeric"), "number_text", F.coalesce("canonical_unit", F.lit("-")), F.coalesce("canonical_currency", F.lit("-")))).otherwise(F.concat(F.lit("text|"), F.col("text_value")))
     span = F.when(period["parsed"], F.concat_ws("..", period["start"].cast("string"), period["end"].cast("string"))).otherwise(clean(F.col("_scope")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from claimweave.functions.keys import comparison_key
 from claimweave.functions.numbers import exact_numbers, normalize_values
-from claimweave.functions.periods import parse_period
+from claimweave.functions.periods import period_of
 from claimweave.operators import dictionary
 from claimweave.sources.scratch import new_path, stored
 
@@ -103,7 +103,7 @@ def normal_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = comparison_key(F.col("subject"))
     out = exact_numbers(normalize_values(claims)).withColumn("entity_key", F.regexp_replace(name, " ltd$", "")).withColumn("predicate_key", comparison_key(F.col("predicate")))
     for column, source in (("period", "temporal_scope"), ("vintage", "data_vintage")):
-        out = dictionary.normalised(out, [source], lambda t: t.withColumn(column, parse_period(F.col(source)))).withColumn(f"{column}_text", F.col(source))
+        out = dictionary.normalised(out, [source], lambda t: t.withColumn(column, period_of(source))).withColumn(f"{column}_text", F.col(source))
     return out
 
 

@@ -25,7 +25,7 @@ def decisions(spark, sf) -> DataFrame:
 
 
 def block_pairs(spark, sf):
-    p = pairs.block_pairs(normal_claims(spark, sf))
+    p = pairs.block_pairs(settled_claims(spark, sf))
     return p.select(*_ids(p), F.col("a_document_id").alias("a_doc"), F.col("b_document_id").alias("b_doc"))
 
 

@@ -326,7 +326,7 @@ def _worded(spark, sf):
 
 def parse_period(spark, sf):
     p = F.col("period")
-    parsed = dictionary.normalised(_worded(spark, sf), ["scope"], lambda t: t.withColumn("period", periods.parse_period(F.col("scope"))))
+    parsed = dictionary.normalised(_worded(spark, sf), ["scope"], lambda t: t.withColumn("period", periods.period_of("scope")))
     return parsed.select("o_orderkey", p["start"].alias("start_date"), p["end"].alias("end_date"), p["granularity"].alias("granularity"), p["parsed"].alias("parsed"))
 
 
