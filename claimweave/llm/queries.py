@@ -121,7 +121,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")  # a null id isn't held out
 
 
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
