@@ -43,8 +43,9 @@ def test_chunks_keep_the_library_s_ids(library):
 
 
 def test_token_output(spark, docs, library):
-    manifest = token_output.write_tokens(docs, new_path(spark, "t"), PATH, 0, 50_257, sequence_length=64)
-    got = sorted(token_output.read_tokens(manifest).collect(), key=lambda r: r.start)
+    folder = new_path(spark, "t")
+    manifest = token_output.write_tokens(docs, folder, PATH, 0, 50_257, sequence_length=64)
+    got = sorted(token_output.read_tokens(spark, folder).collect(), key=lambda r: r.start)
     assert len(got) == len(TEXTS) + 1
     at, last = 0, -1
     texts = {}
@@ -61,6 +62,22 @@ def test_token_output(spark, docs, library):
     assert len(tokens) == len(mask) == 64 and mask.sum() == min(64, shard.n_ids)
 
 
+def test_shards_of_one_task(spark, library):
+    texts = [None, "", "a b c"] + [f"Überraschung {k} für die Straße " * 60_000 for k in range(4)] + ["x" * 100_000]
+    folder = new_path(spark, "t")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    shards = token_output.write_tokens(df, folder, PATH, 0, 50_257, shard_ids=1000).orderBy("shard").collect()
+    assert len(shards) > 1 and sum(r.n_docs for r in shards) == len(texts)
+    got = token_output.read_tokens(spark, folder).orderBy("doc_id").collect()
+    assert [np.frombuffer(r.ids, "<u4").tolist() for r in got] == [expected(library, t, 0) for t in texts]
+    assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got[:-1]]).tolist()
+    for r in shards:
+        reader = token_output.ShardReader(r.path)
+        rows = [reader.sequence(k) for k in range(-(-r.n_ids // 2048))]
+        assert sum(int(m.sum()) for _, m in rows) == r.n_ids
+        assert np.concatenate([t[m] for t, m in rows]).tolist() == reader.ids(0, r.n_ids).tolist()
+
+
 def test_token_counts(docs, library):
     got = token_counts.count_tokens(docs, PATH, budget=10).collect()
     assert len(got) == len(TEXTS) + 1
