@@ -34,6 +34,16 @@ def folded(text: Column) -> Column:
     return F.coalesce(_compatible.asNondeterministic()(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
+@F.pandas_udf(StringType())
+def _one_case(texts: pd.Series) -> pd.Series:
+    return texts.map(str.casefold, na_action="ignore")
+
+
+def case_folded(text: Column) -> Column:
+    """Text whose cases are one, sharp s included, and whose compatibility forms stay apart; ASCII text as in ``folded``."""
+    return F.coalesce(_one_case.asNondeterministic()(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
 def scope_key(text: Column) -> Column:
     """Words of a scope; null and blank are null."""
     return F.when(F.trim(text) != "", F.array_join(words(text), " "))

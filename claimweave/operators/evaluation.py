@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimweave.functions.fixed_values import CLASSES
-from claimweave.functions.keys import canonical_predicates, clean, folded, normalize_entities
+from claimweave.functions.keys import canonical_predicates, case_folded, clean, folded, normalize_entities
 from claimweave.functions.numbers import exact_numbers, normalize_values
 from claimweave.functions.periods import period_of
 from claimweave.sources.scratch import stored
@@ -18,7 +18,7 @@ SIGNATURE = ["sig_document", "sig_page", "sig_entity", "sig_predicate", "sig_val
 
 def with_signature(facts: DataFrame) -> DataFrame:
     """Adds the six parts that two facts must share: document, page, entity, predicate, value and period."""
-    f = canonical_predicates(normalize_entities(facts, "subject"), "predicate").withColumns({"_value": folded(F.col("value")), "_scope": folded(F.col("temporal_scope")), "_document": folded(F.col("document_key"))})
+    f = canonical_predicates(normalize_entities(facts, "subject"), "predicate").withColumns({"_value": folded(F.col("value")), "_scope": folded(F.col("temporal_scope")), "_document": case_folded(F.col("document_key"))})
     f = dictionary.normalised(f, ["_value", "unit", "currency"], lambda t: exact_numbers(normalize_values(t, "_value"), "_value"))
     f = dictionary.normalised(f, ["_scope"], lambda t: t.withColumn("_period", period_of("_scope")))
     period = F.col("_period")
@@ -28,9 +28,11 @@ def with_signature(facts: DataFrame) -> DataFrame:
 
 
 def in_scope(predictions: DataFrame, scope: DataFrame) -> DataFrame:
-    """Predictions whose document's first scope row (by ordinal) lists their page, or lists none."""
-    first = scope.groupBy(clean(F.col("document_key")).alias("_doc")).agg(F.min_by(F.struct("pages"), "ordinal").alias("_s"))
-    joined = predictions.withColumn("_doc", clean(F.col("document_key"))).join(first, "_doc")
+    """Predictions whose document's first scope row (by ordinal) lists their page, or lists none. Documents are told apart as by
+    ``with_signature``."""
+    by_key = lambda df: df.withColumn("_folded", case_folded(F.col("document_key"))).withColumn("_doc", clean(F.col("_folded"))).drop("_folded")
+    first = by_key(scope).groupBy("_doc").agg(F.min_by(F.struct("pages"), "ordinal").alias("_s"))
+    joined = by_key(predictions).join(first, "_doc")
     return joined.where(F.col("_s.pages").isNull() | F.array_contains("_s.pages", F.col("page"))).drop("_doc", "_s")
 
 
