@@ -11,7 +11,7 @@ from claimweave.sources.scratch import new_path
 from claimweave.sources.versioned import VersionedTables
 from claimweave.streaming import incremental, lifecycle
 
-from .claims import in_parts, table
+from .claims import in_turn, table
 
 
 def _docs(spark, sf):
@@ -35,7 +35,8 @@ def dedup_by_hash(spark, sf):
 def dedup_stream(spark, sf):
     """Contents as they arrive in several micro-batches, by ids; no state in the stream."""
     tables = VersionedTables(spark, new_path(spark, "seen"), incremental.SEEN)
-    incremental.start(in_parts(_docs(spark, sf), "document_id"), incremental.arrival_writer(tables), new_path(spark, "stream-checkpoint"), once=True).awaitTermination()
+    work, checkpoint = incremental.arrival_writer(tables), new_path(spark, "stream-checkpoint")
+    in_turn(_docs(spark, sf), "document_id", lambda stream: incremental.start(stream, work, checkpoint, once=True).awaitTermination())
     return tables.read("arrivals").where("NOT duplicate_reused").select("sha256").distinct()
 
 
@@ -56,8 +57,8 @@ def lifecycle_walk(spark, sf):
 def lifecycle_stream(spark, sf):
     """The same from a stream in several micro-batches, states kept in the state store."""
     tables = VersionedTables(spark, new_path(spark, "states"), incremental.STATES)
-    stream = lifecycle.live_states(in_parts(_asked(spark, sf), "ts"))
-    incremental.start(stream, incremental.state_writer(tables), new_path(spark, "stream-checkpoint"), once=True, mode="update").awaitTermination()
+    work, checkpoint = incremental.state_writer(tables), new_path(spark, "stream-checkpoint")
+    in_turn(_asked(spark, sf), "ts", lambda stream: incremental.start(lifecycle.live_states(stream), work, checkpoint, once=True, mode="update").awaitTermination())
     return tables.read("states").select(*_WALKED)
 
 
