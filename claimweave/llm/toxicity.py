@@ -32,6 +32,8 @@ from .quality import labelled
 TRAINING_ROWS = 5_000
 BITS = 18
 SIZES = (4, 5, 6)
+#: A slice's arrays take some hundred times its bytes, and every worker of an executor holds one.
+SLICE_BYTES = 256 << 10
 #: Features of texts that a step of fitting takes at a time.
 _AT_ONCE = 500_000
 _LATIN = np.arange(0x250, dtype=np.uint32)
@@ -148,7 +150,7 @@ def fit_linear(indices: list[np.ndarray], y: np.ndarray, smoothing: float = 1.0,
 def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS, id_column: str = "doc_id", text_column: str = "text") -> Linear:
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in tb.text_slices(batch.column(1)):
+            for lo, hi, data, offsets in tb.text_slices(batch.column(1), SLICE_BYTES):
                 documents, buckets = distinct_buckets(*n_gram_buckets(data, offsets))
                 parts = np.split(buckets.astype("<u4"), np.searchsorted(documents, np.arange(1, hi - lo)))
                 yield pa.record_batch([batch.column(0)[lo:hi], batch.column(2)[lo:hi], pa.array([x.tobytes() for x in parts], pa.binary())], names=["doc_id", "label", "x"])
@@ -168,7 +170,7 @@ def score(docs: DataFrame, model: Linear, id_column: str = "doc_id", text_column
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in tb.text_slices(batch.column(1)):
+            for lo, hi, data, offsets in tb.text_slices(batch.column(1), SLICE_BYTES):
                 scores = shared.value.scores(data, offsets)
                 yield pa.record_batch([batch.column(0)[lo:hi], pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
@@ -183,7 +185,7 @@ def clean_rows(docs: DataFrame, model: Linear, text_column: str = "text") -> Dat
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in tb.text_slices(batch.column(at)):
+            for lo, hi, data, offsets in tb.text_slices(batch.column(at), SLICE_BYTES):
                 yield batch.slice(lo, hi - lo).filter(pa.array(shared.value.scores(data, offsets) < 0.5))
 
     return docs.mapInArrow(keep, docs.schema)
