@@ -18,14 +18,14 @@ def _key(columns: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*columns)), 256)  # nulls are left out, so they differ from empty texts
 
 
-def normalised(rows: DataFrame, texts: list[str], form: Callable[[DataFrame], DataFrame], kept: VersionedTables | None = None) -> DataFrame:
+def normalised(rows: DataFrame, texts: list[str], form: Callable[[DataFrame], DataFrame], kept: VersionedTables | None = None, seen: DataFrame | None = None) -> DataFrame:
     """``rows`` with the columns that ``form`` adds to a table of their distinct ``texts``.
 
     ``form`` sees each text once, whatever the number of rows; with ``kept``, tables over ``DICTIONARY``, only those that no earlier
     call has seen. Distinct texts are summed up before they move. The dictionary is stored, so that Spark knows its size: a
     small one is broadcast, one that is not is joined by a hash of the texts, where adaptive execution splits a frequent text.
-    ``rows`` are read twice."""
-    asked = rows.select(*texts).distinct().withColumn("key", _key(texts))
+    ``rows`` are read twice, unless ``seen``, a table that holds all their texts and is had more easily, is read for these."""
+    asked = (rows if seen is None else seen).select(*texts).distinct().withColumn("key", _key(texts))
     if kept is None:
         made = stored(form(asked), "dictionary")
     else:
