@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from claimweave.operators.classify import classify
 from claimweave.operators.pages import first_by_hash
 from claimweave.operators.pairs import delta_pairs
+from claimweave.sources.scratch import dropped, stored
 from claimweave.sources.versioned import Table, VersionedTables
 
 SEEN = {"seen": Table(("sha256",), ("sha256",)), "arrivals": Table(("document_id",), ("document_id",))}
@@ -34,16 +35,20 @@ def arrival_writer(tables: VersionedTables, order: str = "document_id", content:
         change = tables.begin()
         if change.state.get("batch", -1) >= number:
             return
-        found = first_by_hash(batch, order, content).select(F.col(order).alias("document_id"), "sha256", "first_id")
+        found = stored(first_by_hash(batch, order, content).select(F.col(order).alias("document_id"), "sha256", "first_id"), "arrived")
         hashes = found.where("sha256 IS NOT NULL").select("sha256", "first_id").distinct()
         known = change.matching("seen", hashes)
+        arrived = found
         if known is not None:
-            found = found.join(known.select("sha256", F.col("first_id").alias("_known")), "sha256", "left").withColumn("first_id", F.coalesce("_known", "first_id"))
-            hashes = hashes.join(known.select("sha256"), "sha256", "left_anti")
-        change.upsert("arrivals", found.select("document_id", "sha256", "first_id", (F.col("document_id") != F.col("first_id")).alias("duplicate_reused")))
+            # As many as the batch has contents: they are merged, not sent to the driver and back.
+            known = stored(known, "known")
+            arrived = found.join(known.select("sha256", F.col("first_id").alias("_known")).hint("merge"), "sha256", "left").withColumn("first_id", F.coalesce("_known", "first_id"))
+            hashes = hashes.join(known.select("sha256").hint("merge"), "sha256", "left_anti")
+        change.upsert("arrivals", arrived.select("document_id", "sha256", "first_id", (F.col("document_id") != F.col("first_id")).alias("duplicate_reused")))
         change.append("seen", hashes)
         change.state["batch"] = number
         change.commit()
+        dropped(found, *([] if known is None else [known]))
 
     return work
 

@@ -4,9 +4,10 @@ from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
 
 from claimweave import process
 from claimweave.engine import Settings
-from claimweave.operators import pairs
+from claimweave.operators import pages, pairs
 from claimweave.process import Workspace
-from claimweave.sources.versioned import Change
+from claimweave.sources.versioned import Change, VersionedTables
+from claimweave.streaming import incremental
 
 
 def _provider():
@@ -40,9 +41,9 @@ def test_documents_are_asked_in_one_pass_over_a_task(spark, tmp_path, monkeypatc
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     facts = {r.document_id: r["count"] for r in work.ledger().facts.groupBy("document_id").count().collect()}
     for row in work.ledger().documents.collect():
-        pages = row.document_id % 9 + 1
-        fails = row.document_id % 7 == 0 and pages >= 5
-        done = 4 if fails else pages
+        length = row.document_id % 9 + 1
+        fails = row.document_id % 7 == 0 and length >= 5
+        done = 4 if fails else length
         assert (row.status, row.processed_page_count, row.extraction_batch_count, facts[row.document_id]) == ("failed" if fails else "completed", done, -(-done // 2), done)
     # Keys of a new batch's facts and of new documents' pages are new: wide rows aren't sorted to tell them apart.
     assert {("append", "pages"), ("append", "facts"), ("append", "quarantine")} <= set(stored)
@@ -67,3 +68,20 @@ def test_blocks_of_one_document_have_no_pairs(spark):
     assert {r.fact_id for r in kept.collect()} == set(range(30))
     whole, cut = (pairs.delta_pairs(f, new).select("a_fact_id", "b_fact_id") for f in (facts, kept))
     assert whole.count() == 40 and whole.exceptAll(cut).isEmpty() and cut.exceptAll(whole).isEmpty()
+
+
+def test_contents_are_not_sent_to_the_driver(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(k, None if k % 11 == 0 else f"text {k % 40}") for k in range(100)], "document_id long, text string")
+    plans = []
+    for kind, call in {name: getattr(Change, name) for name in ("append", "upsert")}.items():
+        monkeypatch.setattr(Change, kind, lambda self, name, rows, *a, call=call, **b: (plans.append(rows), call(self, name, rows, *a, **b))[1])
+    tables = VersionedTables(spark, str(tmp_path / "seen"), incremental.SEEN)
+    work = incremental.arrival_writer(tables)
+    for number in range(3):
+        work(docs.where(f"document_id div 34 = {number}"), number)
+    whole = pages.first_by_hash(docs, "document_id").select("document_id", "sha256", "first_id", "duplicate_reused")
+    got = tables.read("arrivals").select(whole.columns)
+    assert got.exceptAll(whole).isEmpty() and whole.exceptAll(got).isEmpty()
+    assert len(plans) == 6
+    for rows in (whole, *plans):
+        assert "BroadcastHashJoin" not in rows._jdf.queryExecution().sparkPlan().toString()
