@@ -9,24 +9,32 @@ from claimweave.functions.fixed_values import CLASSES
 from claimweave.functions.keys import canonical_predicates, case_folded, clean, folded, normalize_entities
 from claimweave.functions.numbers import exact_numbers, normalize_values
 from claimweave.functions.periods import period_of
-from claimweave.sources.scratch import stored
+from claimweave.sources.scratch import spread, stored
 
 from . import dictionary
 
 SIGNATURE = ["sig_document", "sig_page", "sig_entity", "sig_predicate", "sig_value", "sig_period"]
 
 
-def with_signature(facts: DataFrame) -> DataFrame:
-    """Adds the six parts that two facts must share: document, page, entity, predicate, value and period."""
-    f = canonical_predicates(normalize_entities(facts, "subject"), "predicate").withColumns({"_value": folded(F.col("value")), "_scope": folded(F.col("temporal_scope")), "_document": case_folded(F.col("document_key"))})
-    f = dictionary.normalised(f, ["_value", "unit", "currency"], lambda t: exact_numbers(normalize_values(t, "_value"), "_value"))
-    f = dictionary.normalised(f, ["_scope"], lambda t: t.withColumn("_period", period_of("_scope")))
+def with_signature(facts: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """Adds the six parts that two facts must share: document, page, entity, predicate, value and period. ``seen`` is a table
+    that holds all texts of ``facts`` and is had more easily, if there is one."""
+    said = lambda t: t.withColumns({"_value": folded(F.col("value")), "_scope": folded(F.col("temporal_scope"))})
+    f = said(canonical_predicates(normalize_entities(facts, "subject"), "predicate")).withColumn("_document", case_folded(F.col("document_key")))
+    texts = said(facts if seen is None else seen)
+    f = dictionary.normalised(f, ["_value", "unit", "currency"], lambda t: exact_numbers(normalize_values(t, "_value"), "_value"), seen=texts)
+    f = dictionary.normalised(f, ["_scope"], lambda t: t.withColumn("_period", period_of("_scope")), seen=texts)
     period = F.col("_period")
     value = F.when(F.col("kind") == "numeric", F.concat_ws("|", F.lit("numeric"), "number_text", F.coalesce("canonical_unit", F.lit("-")), F.coalesce("canonical_currency", F.lit("-")))).otherwise(F.concat(F.lit("text|"), F.col("text_value")))
     span = F.when(period["parsed"], F.concat_ws("..", period["start"].cast("string"), period["end"].cast("string"))).otherwise(clean(F.col("_scope")))
     return f.withColumns({"sig_document": clean(F.col("_document")), "sig_page": F.col("page"), "sig_entity": F.col("entity_key"), "sig_predicate": F.col("predicate_key"), "sig_value": value, "sig_period": span}).select(*facts.columns, *SIGNATURE)
 
 
+def signed(facts: DataFrame) -> DataFrame:
+    """``with_signature`` of facts with ids: a file of them is small, and their keys take long, so they are spread first."""
+    return with_signature(spread(facts, "id"), seen=facts)
+
+
 def in_scope(predictions: DataFrame, scope: DataFrame) -> DataFrame:
     """Predictions whose document's first scope row (by ordinal) lists their page, or lists none. Documents are told apart as by
     ``with_signature``."""
@@ -44,13 +52,16 @@ def numbered(rows: DataFrame, key: str, order: str, name: str, part_rows: int =
     """``rows`` with their number among those of their key, from 1, in the order of a number column.
 
     A frequent key is cut at quantiles of the order; a range's first number follows from the counts of those before it, so that no
-    task gets a frequent key whole. Rows are read three times: store them first."""
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(order, [k / 64 for k in range(1, 64)], 1000).alias("_bounds")).where(F.col("_n") > part_rows)
-    cut = rows.join(sizes.select(key, "_bounds"), key, "left")
+    task gets a frequent key whole. Frequent keys are counted and stored first; where there are none, rows move once. Store rows first."""
+    large = stored(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > part_rows).select(key), "frequent-keys")
+    if large.isEmpty():
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(order)).cast("long"))
+    bounds = rows.join(large, key, "left_semi").groupBy(key).agg(F.percentile_approx(order, [k / 64 for k in range(1, 64)], 1000).alias("_bounds"))
+    cut = rows.join(bounds, key, "left")
     place = F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(order))), F.lit(0))
     placed = cut.withColumn("_part", F.when(F.col("_bounds").isNull(), 0).otherwise(place)).drop("_bounds")
     before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = placed.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_m")).join(sizes.select(key), key, "left_semi").withColumn("_first", F.coalesce(F.sum("_m").over(before), F.lit(0))).drop("_m")
+    firsts = placed.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_m")).join(large, key, "left_semi").withColumn("_first", F.coalesce(F.sum("_m").over(before), F.lit(0))).drop("_m")
     within = F.row_number().over(Window.partitionBy(key, "_part").orderBy(order))
     return placed.withColumn("_k", within).join(firsts, [key, "_part"], "left").withColumn(name, F.col("_k") + F.coalesce("_first", F.lit(0))).drop("_k", "_part", "_first")
 
@@ -108,8 +119,8 @@ def label_problems(facts: DataFrame, relationships: DataFrame) -> DataFrame:
 
 def evaluate(scope: DataFrame, facts: DataFrame, relationships: DataFrame, predicted: DataFrame, predicted_relationships: DataFrame) -> dict[str, DataFrame]:
     """facts (counts and ratios), relationships (accuracy) and confusion of predictions against labels."""
-    expected, scoped = with_signature(facts), in_scope(with_signature(predicted), scope)
-    matches = bag_match(expected, scoped)
+    expected, scoped = facts, in_scope(predicted, scope)
+    matches = bag_match(signed(expected), signed(scoped))
     labels = relationship_labels(relationships, predicted_relationships, matches.select("expected_id", "predicted_id"))
     return {"facts": precision_recall(expected, scoped, matches), "relationships": accuracy(labels), "confusion": confusion(labels)}
 

@@ -4,7 +4,8 @@ from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
 
 from claimweave import process
 from claimweave.engine import Settings
-from claimweave.operators import pages, pairs
+from claimweave.operators import evaluation, pages, pairs
+from claimweave.plans import queries_claims
 from claimweave.process import Workspace
 from claimweave.sources.versioned import Change, VersionedTables
 from claimweave.streaming import incremental
@@ -85,3 +86,23 @@ def test_contents_are_not_sent_to_the_driver(spark, tmp_path, monkeypatch):
     assert len(plans) == 6
     for rows in (whole, *plans):
         assert "BroadcastHashJoin" not in rows._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_only_facts_in_scope_are_signed_and_spread(spark, sf, monkeypatch):
+    asked, sign = [], evaluation.with_signature
+    monkeypatch.setattr(evaluation, "with_signature", lambda facts, *a, **b: (asked.append(facts), sign(facts, *a, **b))[1])
+    expected, scoped, matches = queries_claims._matched(spark, sf)
+    n = [f.count() for f in asked]
+    assert n == [expected.count(), scoped.count()] and n[1] < queries_claims._labelled(spark, sf)[1].count()
+    assert all(f.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism for f in asked)
+    # The row of counts doesn't sign facts once more.
+    plan = evaluation.precision_recall(expected, scoped, matches)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" not in plan and "percentile_approx" not in plan
+
+
+def test_numbers_of_rows_with_and_without_frequent_keys(spark):
+    rows = spark.createDataFrame([(f"k{i % 3}" if i % 2 else f"r{i}", i) for i in range(300)], "k string, o long")
+    whole, cut = (evaluation.numbered(rows, "k", "o", "n", part) for part in (1000, 7))
+    assert whole.schema["n"].dataType == cut.schema["n"].dataType
+    assert {tuple(r) for r in whole.select("k", "o", "n").collect()} == {tuple(r) for r in cut.select("k", "o", "n").collect()}
+    assert "percentile_approx" not in whole._jdf.queryExecution().optimizedPlan().toString()
